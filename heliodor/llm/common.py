@@ -6,6 +6,7 @@ executor gives the same rows.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,9 @@ BLOCK_BYTES = 2 << 20
 #: Bytes that end a word under [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that end a word under [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
+MARKS = np.ones(256, dtype=bool)
+MARKS[0x30:0x3A] = MARKS[0x41:0x5B] = MARKS[0x61:0x7B] = MARKS[0x80:] = False
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,6 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever they start; on a cluster it is installed or sent with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    have = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [have, root]))
+
+
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/heliodor-{name}-{uuid.uuid4().hex}"
@@ -117,11 +129,11 @@ class Block:
         self.data = raw[offsets[0] : offsets[-1]] if len(offsets) else raw[:0]
         self.offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
-    def words(self, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, lower: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash, first byte, byte after the end of each word, and each text's first word (with a last bound)."""
         n = len(self.data)
         inside = np.zeros(n + 2, dtype=bool)
-        inside[1:-1] = ~SPACE[self.data]
+        inside[1:-1] = ~breaks[self.data]
         starts = inside[1:-1] & ~inside[:-2]
         ends = inside[1:-1] & ~inside[2:]
         edges = self.offsets[:-1]
@@ -130,10 +142,17 @@ class Block:
         cut = edges[edges > 0] - 1
         ends[cut] = inside[1:-1][cut]
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        hashes = Prefix((_BYTE_LOWER if lower else _BYTE)[self.data]).spans(starts, ends)
+        self.prefix = Prefix((_BYTE_LOWER if lower else _BYTE)[self.data])
+        hashes = self.prefix.spans(starts, ends)
         return hashes, starts, ends, np.searchsorted(starts, self.offsets)
 
 
+def hash_of(word: str) -> int:
+    """The hash that Block.words gives a lower-case word, signed."""
+    data = np.frombuffer(word.encode(), dtype=np.uint8)
+    return int(Prefix(_BYTE_LOWER[data]).spans(np.array([0]), np.array([len(data)])).view(np.int64)[0])
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """Batches cut so that their texts hold at most that many bytes (or one text)."""
     for batch in batches:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, licenses, minhash, sharding, substrings, suffixes
+from . import curriculum, licenses, minhash, sharding, substrings, suffixes, toxicity
+from .common import ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -16,6 +18,13 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out(F.col("doc_id")))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.dedup(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -41,5 +50,5 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op4_substrings": op4_substrings, "op6_suffixes": op6_suffixes, "op5_mix": op5_mix, "op9_licenses": op9_licenses, "op10_shards": op10_shards}
+QUERIES = {"op3_toxicity": op3_toxicity, "op1_minhash": op1_minhash, "op4_substrings": op4_substrings, "op6_suffixes": op6_suffixes, "op5_mix": op5_mix, "op9_licenses": op9_licenses, "op10_shards": op10_shards}
 ORACLE_SQL: dict[str, str] = {}
