@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, licenses, minhash, sharding, substrings, suffixes, toxicity
-from .common import ship
+from . import curriculum, decontaminate, licenses, minhash, sharding, simhash, substrings, suffixes, toxicity, urls
+from .common import ship, table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,27 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(read(spark, sf_dir, "documents"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.with_next(read(spark, sf_dir, "documents"))
+    rows = table(spark, rows, "prints")
+    c = F.col
+    near = simhash.near_counts(rows.select("doc_id", "hi", "lo"), c("doc_id") % 20 == 0).distinct().withColumnRenamed("doc_id", "i")
+    return rows.join(near, c("doc_id") == c("i"), "left").select(
+        "doc_id", "n_chars", "edited_sha256",
+        simhash.text_of(c("hi"), c("lo")).alias("fingerprint"), simhash.text_of(c("edited_hi"), c("edited_lo")).alias("edited_fingerprint"),
+        simhash.likeness(c("hi"), c("lo"), c("edited_hi"), c("edited_lo")).alias("near_edited"),
+        simhash.likeness(c("hi"), c("lo"), c("next_hi"), c("next_lo")).alias("near_next"), "n_near",
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -50,5 +71,5 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op1_minhash": op1_minhash, "op4_substrings": op4_substrings, "op6_suffixes": op6_suffixes, "op5_mix": op5_mix, "op9_licenses": op9_licenses, "op10_shards": op10_shards}
+QUERIES = {"op2_urls": op2_urls, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op3_toxicity": op3_toxicity, "op1_minhash": op1_minhash, "op4_substrings": op4_substrings, "op6_suffixes": op6_suffixes, "op5_mix": op5_mix, "op9_licenses": op9_licenses, "op10_shards": op10_shards}
 ORACLE_SQL: dict[str, str] = {}
