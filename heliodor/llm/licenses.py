@@ -51,6 +51,8 @@ RAREST = 24
 LEAST = 0.6
 
 LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The same class, listed so that Java tests a table first; possessive.
+RUN = r"[0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz\x{80}-\x{10FFFF}]++"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -59,7 +61,7 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(LETTERS + "+")).cast("long")
+    return F.regexp_count(text, F.lit(RUN)).cast("long")
 
 
 def folded(text: Column) -> Column:
@@ -68,7 +70,7 @@ def folded(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(LETTERS + "+"), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(RUN), F.lit(0))
 
 
 def vocabulary() -> list[str]:
@@ -101,14 +103,16 @@ def index_labels(df: DataFrame, key: str, text_col: str, rarest: int = RAREST, l
     spark = df.sparkSession
     posting = spark.createDataFrame(postings, "w string, t int, at int, idf double, is_key int")
     limit = spark.createDataFrame(limits, "t int, label string, whole double, n_key int")
-    # A key phrase holds one of these; a text without any cannot be verified.
-    stems = sorted({max(phrase.split(), key=lambda w: (idf[w], w)) for _, _, phrase in TEMPLATES})
-    text = F.lower(F.col(text_col))
-    some = F.lit(False)
-    for stem in stems:
-        some = some | text.contains(stem)
+    # A template can only be verified where its key phrase stands: first a cheap look for the
+    # phrase's words, then for the phrase.
+    text, some = F.col(text_col), F.lit(False)
+    for phrase in sorted({phrase for _, _, phrase in TEMPLATES}):
+        here = F.lit(True)
+        for w in sorted(set(phrase.split()), key=lambda w: (-idf[w], w)):
+            here = here & F.lower(text).contains(w)
+        some = some | (here & text.rlike(phrase_pattern(phrase)))
     vocab = F.array(*map(F.lit, vocabulary()))
-    files = df.select(key, F.col(text_col).alias("__t")).filter(F.col(text_col).isNotNull() & some).withColumn("__w", words(F.col("__t")))
+    files = df.select(key, F.col(text_col).alias("__t")).filter(some).withColumn("__w", words(F.col("__t")))
     weight = F.create_map(*[F.lit(x) for w in vocabulary() for x in (w, idf[w])])
     held = F.array_intersect("__w", vocab)
     rare = F.slice(F.sort_array(F.transform(held, lambda w: F.struct(F.element_at(weight, w).alias("idf"), w.alias("w"))), asc=False), 1, rarest)
