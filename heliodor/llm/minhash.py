@@ -218,7 +218,8 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _confirmed(docs: DataFrame, candidates: DataFrame, id_type: str, least: int) -> DataFrame:
     """Spanning forests of the confirmed links of every unit: a, b."""
     spark = docs.sparkSession
-    rows = candidates.join(docs, F.col("node") == F.col("id")).select("label", "id", "text")
+    # The same plan at every size: texts are dealt by id, never joined to a broadcast table.
+    rows = candidates.join(docs.hint("merge"), F.col("node") == F.col("id")).select("label", "id", "text")
     rows = table(spark, rows.withColumn("h", F.xxhash64("id", "text")), "texts")
     sizes = rows.groupBy("label").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_TEXT)).cast("int")
