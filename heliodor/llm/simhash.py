@@ -27,6 +27,7 @@ from .common import Block, blocks, mix, table
 BITS = 128
 RADIUS, SPARE = 3, 2
 HEAVIEST = 16
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
 def fingerprints(block: Block) -> np.ndarray:
@@ -36,10 +37,14 @@ def fingerprints(block: Block) -> np.ndarray:
     full = np.flatnonzero(np.diff(bounds))
     if not len(full):
         return out
-    weight = np.minimum(end - start, HEAVIEST).astype(np.int32)
-    both = np.stack([words, mix(words ^ np.uint64(0xA0761D6478BD642F))], axis=1)
-    bits = np.unpackbits(both.astype(">u8").view(np.uint8).reshape(len(words), 16), axis=1)
-    votes = np.add.reduceat(bits * weight[:, None], bounds[full], axis=0)
+    weight = np.minimum(end - start, HEAVIEST)
+    both = np.stack([words, mix(words ^ np.uint64(0xA0761D6478BD642F))], axis=1).astype(">u8")
+    # Votes are summed for every value of every hash byte, then turned into votes on bits.
+    planes = both.view(np.uint8).reshape(len(words), 16)
+    row = np.repeat(np.arange(len(full)), np.diff(bounds)[full])
+    cell = (row[:, None] * 16 + np.arange(16)) * 256 + planes
+    sums = np.bincount(cell.reshape(-1), np.repeat(weight, 16), minlength=len(full) * 4096).reshape(len(full) * 16, 256)
+    votes = (sums @ _BYTE_BITS).reshape(len(full), BITS)
     whole = np.add.reduceat(weight, bounds[full])
     packed = np.packbits(2 * votes > whole[:, None], axis=1)
     out[full] = packed.view(">u8").astype(np.uint64)
@@ -135,7 +140,12 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield held[2], held[3], ""
 
         def emit(ids, texts, edited, following):
-            f = [fingerprints(Block(pa.array(x, pa.string()))).view(np.int64) for x in (texts, edited, following)]
+            f = [fingerprints(Block(pa.array(x, pa.string()))).view(np.int64) for x in (texts, edited)]
+            # The next text is mostly the next row.
+            after = np.roll(f[0], -1, axis=0)
+            other = [i for i, x in enumerate(following) if i + 1 == len(texts) or x is not texts[i + 1]]
+            after[other] = fingerprints(Block(pa.array([following[i] for i in other], pa.string()))).view(np.int64)
+            f.append(after)
             columns = [pa.array(ids, id_arrow), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited])]
             columns += [pa.array(x[:, j]) for x in f for j in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, ["id", "n_chars", "edited_sha256", "hi", "lo", "edited_hi", "edited_lo", "next_hi", "next_lo"])
