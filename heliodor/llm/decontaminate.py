@@ -3,7 +3,7 @@
 Passages of PASSAGE words are rows of a TF-IDF matrix over hashed terms. One pass counts
 terms (IDF over all passages), one pass forms A'A times a random matrix, block by block on the
 executors; from that product a randomised Nystrom decomposition gives the leading right singular
-vectors and values. Benchmark items and sliding windows of all documents (several
+vectors and values, by which passages are folded in. Benchmark items and sliding windows of all documents (several
 scales, one fitting each item) are projected and compared by cosine; a window that comes close is
 checked by the longest common subsequence of words with the item and by its answer (the
 item's last sentence), which also finds paraphrases with words put in, left out or replaced.
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks
+from .common import Block, blocks, ranges
 
 TERM_BITS, RANK = 12, 96
 PASSAGE, STEP = 32, 8
 SCALES = (16, 32, 64)
-COSINE, LCS, ANSWER = 0.45, 0.7, 0.5
-BENCH_BLOCK = 4096
+COSINE, LCS, ANSWER = 0.5, 0.7, 0.5
+BENCH_BLOCK = 512
 _TERMS = 1 << TERM_BITS
 _CHUNK = 64
 
@@ -144,6 +144,7 @@ class Items:
     def __init__(self, rows: list[tuple], weights: np.ndarray, vectors: np.ndarray):
         self.ids, self.masks, self.sizes, self.answers = [], [], [], []
         queries: dict[int, list] = {s: [] for s in SCALES}
+        bits: list[np.ndarray] = []
         for item, text in rows:
             block = Block(pa.array([text], pa.string()))
             words, term, _ = _terms(block)
@@ -157,11 +158,18 @@ class Items:
                 norm = np.linalg.norm(v)
                 if norm > 0:
                     queries[scale].append((v / norm, len(self.ids), at))
+            # A bit for each of the first 64 distinct terms: an item's terms that a region lacks bound its subsequence.
+            own = np.zeros(_TERMS, dtype=np.uint64)
+            distinct = np.unique(term)[:64]
+            own[distinct] = np.uint64(1) << np.arange(len(distinct), dtype=np.uint64)
+            bits.append(own)
             self.ids.append(item)
             self.masks.append(_masks(words.tolist()))
             self.sizes.append(len(words))
             self.answers.append((_masks(answer), len(answer)))
-        self.queries = {s: (np.array([q[0] for q in qs], dtype=np.float32), [q[1:] for q in qs]) for s, qs in queries.items() if qs}
+        self.bits = np.array(bits, dtype=np.uint64).reshape(len(bits), _TERMS)
+        self.distinct = np.bitwise_count(np.bitwise_or.reduce(self.bits, axis=1)).astype(np.int64) if bits else np.zeros(0, np.int64)
+        self.queries = {s: (np.array([q[0] for q in qs], dtype=np.float32), np.array([q[1:] for q in qs], dtype=np.int64)) for s, qs in queries.items() if qs}
 
 
 def _search(items: Items, weights, vectors, cosine: float, lcs: float, answer: float):
@@ -186,16 +194,22 @@ def _search(items: Items, weights, vectors, cosine: float, lcs: float, answer: f
                     matrix, names = items.queries[scale]
                     norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                     close = window @ matrix.T
-                    for w, q in zip(*np.nonzero(close > (cosine * norm + 1e-9)[:, None])):
-                        if w >= len(text_of):
-                            continue
-                        item, at = names[q]
-                        text = int(text_of[w])
-                        n = items.sizes[item]
-                        begin = int(bounds[text]) + (int(w) - int(first[text])) * STEP - at
-                        low = max(int(bounds[text]), begin - scale // 2)
-                        high = min(int(bounds[text + 1]), begin + n + scale // 2 + STEP)
-                        region = words[low:high].tolist()
+                    w, q = np.nonzero(close[: len(text_of)] > (cosine * norm[: len(text_of)])[:, None])
+                    if not len(w):
+                        continue
+                    item_of, text = names[q, 0], text_of[w]
+                    size_of = np.array(items.sizes)[item_of]
+                    begin = bounds[text] + (w - first[text]) * STEP - names[q, 1]
+                    lows = np.minimum(np.maximum(bounds[text], begin - scale // 2), bounds[text + 1] - 1)
+                    highs = np.maximum(lows + 1, np.minimum(bounds[text + 1], begin + size_of + scale // 2 + STEP))
+                    # Necessary for the subsequence: few of the item's terms are missing.
+                    lengths = highs - lows
+                    inside = items.bits[np.repeat(item_of, lengths), term[ranges(lows, lengths)]]
+                    held = np.bitwise_count(np.bitwise_or.reduceat(inside, np.cumsum(lengths) - lengths))
+                    able = np.flatnonzero(held >= items.distinct[item_of] - (1 - lcs) * size_of)
+                    for c in able.tolist():
+                        item, n, at = int(item_of[c]), int(size_of[c]), int(text[c])
+                        region = words[lows[c] : highs[c]].tolist()
                         share = common(region, items.masks[item], n) / n
                         if share < lcs:
                             continue
@@ -203,9 +217,9 @@ def _search(items: Items, weights, vectors, cosine: float, lcs: float, answer: f
                         told = common(region, masks, size) / size if size else 1.0
                         if told < answer:
                             continue
-                        found = (share, float(close[w, q] / norm[w]), told, low - int(bounds[text]))
-                        if found > best.get((text, item), (0.0,)):
-                            best[text, item] = found
+                        found = (share, float(close[w[c], q[c]] / norm[w[c]]), told, int(lows[c] - bounds[at]))
+                        if found > best.get((at, item), (0.0,)):
+                            best[at, item] = found
             keys = sorted(best)
             values = [best[k] for k in keys]
             yield pa.RecordBatch.from_arrays(
@@ -226,7 +240,9 @@ def search(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     if not parts:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     weights = term_weights(docs)
-    vectors, _ = basis(docs, weights)
+    # Folding in divides by the singular values, so that what all passages share does not drown the rest.
+    vectors, values = basis(docs, weights)
+    vectors = vectors / np.maximum(values, 1e-6 * max(values.max(), 1e-12)).astype(np.float32)
     out = None
     for part in range(parts):
         rows = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").collect()
