@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, licenses, minhash, sharding, simhash, substrings, suffixes, toxicity, urls
+from . import curriculum, decontaminate, licenses, minhash, oracles, sharding, simhash, substrings, suffixes, toxicity, urls
 from .common import ship, table
 
 
@@ -36,7 +36,8 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix(read(spark, sf_dir, "documents"))
+    rows = curriculum.mix(read(spark, sf_dir, "documents"))
+    return rows.withColumn("first_position", F.round("first_position", 9))
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,4 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_urls": op2_urls, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op3_toxicity": op3_toxicity, "op1_minhash": op1_minhash, "op4_substrings": op4_substrings, "op6_suffixes": op6_suffixes, "op5_mix": op5_mix, "op9_licenses": op9_licenses, "op10_shards": op10_shards}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_minhash": oracles.MINHASH, "op4_substrings": oracles.SUBSTRINGS, "op5_mix": oracles.MIX}
