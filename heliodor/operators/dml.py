@@ -99,26 +99,22 @@ def insert(spark: SparkSession, root: str, table: Table, s: Statement, stage: Ca
 
 
 def _rewrite(spark: SparkSession, root: str, table: Table, matched, change: Callable[[DataFrame], DataFrame], stage: Callable[[], str]) -> int:
-    """Replace the segments that hold matches; the others stay as they are."""
-    total, out = 0, []
-    for segment in table.segments:
-        frame = segments.read_segment(spark, root, table, segment)
-        counts = frame.agg(F.count("*").alias("rows"), F.count_if(matched).alias("hits")).first()
-        if not counts.hits:
-            out.append(segment)
-            continue
-        total += counts.hits
-        changed = change(frame)
-        rows = counts.rows
-        if changed is None:
-            continue
-        if isinstance(changed, tuple):
-            changed, rows = changed[0], counts.rows - counts.hits
-        if rows:
-            name = stage()
-            segments.write(changed, root, name, table.key, rows > SMALL_ROWS)
-            out.append({"dir": name, "rows": rows})
-    table.segments = out
+    """Replace the segments that hold matches by one new one; the others stay as they are. One job counts, one writes."""
+    counts = segments.count(spark, root, table, matched)
+    touched = [s for i, s in enumerate(table.segments) if counts[i][1]]
+    if not touched:
+        return 0
+    total = sum(hits for _, hits in counts)
+    rows = sum(n for n, hits in counts if hits)
+    changed = change(segments.read(spark, root, table, touched))
+    if isinstance(changed, tuple):
+        changed, rows = changed[0], rows - total
+    kept = [s for i, s in enumerate(table.segments) if not counts[i][1]]
+    if rows:
+        name = stage()
+        segments.write(changed, root, name, table.key, rows > SMALL_ROWS)
+        kept.append({"dir": name, "rows": rows})
+    table.segments = kept
     return total
 
 

@@ -54,6 +54,26 @@ def read(spark: SparkSession, root: str, table: Table, segments: list | None = N
     return out
 
 
+def count(spark: SparkSession, root: str, table: Table, matched: Column) -> list[tuple[int, int]]:
+    """Rows and matching rows of each segment of the table, in one job."""
+    frames = []
+    own = {s["dir"]: i for i, s in enumerate(table.segments) if "dir" in s}
+    if own:
+        stored = spark.read.schema(schema(table)).parquet(*[os.path.join(root, d) for d in own])
+        frames.append(stored.withColumn("segment", F.regexp_extract("_metadata.file_path", r"/(seg-[0-9a-f]+)/[^/]*$", 1)))
+    for i, s in enumerate(table.segments):
+        if "path" in s:
+            frames.append(_attached(spark, table, s).withColumn("segment", F.lit(str(i))))
+    out = [(0, 0)] * len(table.segments)
+    if frames:
+        whole = frames[0]
+        for f in frames[1:]:
+            whole = whole.union(f)
+        for r in whole.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(matched).alias("hits")).collect():
+            out[own[r.segment] if r.segment in own else int(r.segment)] = (r.n, r.hits)
+    return out
+
+
 def write(frame: DataFrame, root: str, name: str, key: int, spread: bool) -> None:
     """Write a segment; a large one is range-clustered and sorted by the key, so key bounds skip files and row groups."""
     try:
