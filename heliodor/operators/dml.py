@@ -49,15 +49,19 @@ def _key_is(table: Table, value: Any):
     return compare("=", Value(t.name, F.col(f"c{table.key}"), type=t), Value(t.name, None, value, True))
 
 
+def _entry(spark: SparkSession, root: str, table: Table, name: str, rows: int) -> dict:
+    return {"dir": name, "rows": rows} | ({"starts": segments.starts(spark, root, table, name)} if rows > SMALL_ROWS else {})
+
+
 def _add(spark: SparkSession, root: str, table: Table, frame: DataFrame, rows: int, stage: Callable[[], str]) -> None:
     name = stage()
     segments.write(frame, root, name, table.key, rows > SMALL_ROWS)
-    table.segments = [*table.segments, {"dir": name, "rows": rows}]
+    table.segments = [*table.segments, _entry(spark, root, table, name, rows)]
     small = [s for s in table.segments if s.get("rows", SMALL_ROWS) < SMALL_ROWS]
     if len(table.segments) > MOST_SEGMENTS and len(small) > 1:
         merged, total = stage(), sum(s["rows"] for s in small)
         segments.write(segments.read(spark, root, table, small), root, merged, table.key, total > SMALL_ROWS)
-        table.segments = [s for s in table.segments if s not in small] + [{"dir": merged, "rows": total}]
+        table.segments = [s for s in table.segments if s not in small] + [_entry(spark, root, table, merged, total)]
 
 
 def insert(spark: SparkSession, root: str, table: Table, s: Statement, stage: Callable[[], str]) -> int:
@@ -113,7 +117,7 @@ def _rewrite(spark: SparkSession, root: str, table: Table, matched, change: Call
     if rows:
         name = stage()
         segments.write(changed, root, name, table.key, rows > SMALL_ROWS)
-        kept.append({"dir": name, "rows": rows})
+        kept.append(_entry(spark, root, table, name, rows))
     table.segments = kept
     return total
 

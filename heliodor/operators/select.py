@@ -23,6 +23,8 @@ class Plan:
     picks: list[int]
     names: list[str]
     types: list[DataType]
+    #: The same rows in the same order, as parts to be read one after another without a shuffle; None where there is no such cut.
+    parts: list[DataFrame] | None = None
 
     def frame(self) -> DataFrame:
         """The result under its own column names (a repeated column gets its place added)."""
@@ -73,6 +75,7 @@ def select(spark: SparkSession, root: str, table: Table, s: Statement) -> Plan:
         raise_lazily(reached, condition, table.key, backwards)
     rows = reached if s.where is None else reached.filter(condition.column)
     key = F.col(f"c{table.key}")
+    unsorted = rows
     if by_key:
         rows = rows.orderBy(key.desc() if descending else key.asc())
     else:
@@ -83,4 +86,24 @@ def select(spark: SparkSession, root: str, table: Table, s: Statement) -> Plan:
     kept = []
     for at in dict.fromkeys(picks):
         kept += [f"c{at}"] + ([f"s{at}"] if table.columns[at].type.name == "DECIMAL" else [])
-    return Plan(rows.select(*kept), picks, [table.columns[i].name for i in picks], [table.columns[i].type for i in picks])
+    parts = None
+    if by_key and s.limit is None:
+        parts = [p.select(*kept) for p in _cut(unsorted, table, descending)] or None
+    return Plan(rows.select(*kept), picks, [table.columns[i].name for i in picks], [table.columns[i].type for i in picks], parts)
+
+
+def _cut(rows: DataFrame, table: Table, descending: bool) -> list[DataFrame]:
+    """A stored table in key order: one part for each file of its most cut segment. Key ranges are pushed to the scan, so a part reads that file and what overlaps it."""
+    if any("path" in s for s in table.segments):
+        return []
+    cuts = max((s.get("starts", []) for s in table.segments), key=len, default=[])[1:]
+    if not cuts:
+        return []
+    key = F.col(f"c{table.key}")
+    order = key.desc() if descending else key.asc()
+    out = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.filter(key >= F.lit(low))
+        part = part if high is None else part.filter(key < F.lit(high))
+        out.append(part.coalesce(1).sortWithinPartitions(order))
+    return out[::-1] if descending else out

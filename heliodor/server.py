@@ -138,6 +138,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--port", type=int, default=5480)
     p.add_argument("--max-connections", type=int, default=100)
     p.add_argument("--lock-timeout-ms", type=int, default=5000)
+    for flag in ("--checkpoint-bytes", "--sort-bytes"):
+        p.add_argument(flag, type=int, help="accepted and unused: there is no log to checkpoint, and Spark spills its sorts itself")
     o = p.parse_args(args)
     logging.Formatter.converter = time.gmtime
     logging.basicConfig(level=logging.INFO, format="%(asctime)sZ %(levelname)s %(message)s")

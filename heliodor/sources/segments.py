@@ -74,15 +74,24 @@ def count(spark: SparkSession, root: str, table: Table, matched: Column) -> list
     return out
 
 
-def write(frame: DataFrame, root: str, name: str, key: int, spread: bool) -> None:
-    """Write a segment; a large one is range-clustered and sorted by the key, so key bounds skip files and row groups."""
+def write(frame: DataFrame, root: str, name: str, key: int, spread: bool, files: int | None = None) -> None:
+    """Write a segment; a large one is range-clustered (into that many files, else as many as adaptive execution finds right) and sorted by the key, so key bounds skip files and row groups."""
     try:
-        frame = frame.repartitionByRange(f"c{key}").sortWithinPartitions(f"c{key}") if spread else frame.coalesce(1).sortWithinPartitions(f"c{key}")
+        frame = frame.repartitionByRange(*[n for n in (files,) if n], f"c{key}").sortWithinPartitions(f"c{key}") if spread else frame.coalesce(1).sortWithinPartitions(f"c{key}")
         frame.write.mode("error").parquet(os.path.join(root, name))
     except OSError as e:
         raise DbError("STORAGE_FULL", str(e)) from e
 
 
+def starts(spark: SparkSession, root: str, table: Table, name: str) -> list:
+    """Smallest key of each file of a range-clustered segment, in order: where an ordered reader may cut it."""
+    if table.key_column.type.name not in ("INTEGER", "TEXT"):
+        return []
+    frame = spark.read.schema(schema(table)).parquet(os.path.join(root, name))
+    rows = frame.groupBy("_metadata.file_path").agg(F.min(f"c{table.key}").alias("first")).select("first").orderBy("first").collect()
+    return [r.first for r in rows]
+
+
 def attach_spec(path: str, columns: list[str]) -> dict:
     """A segment that is a Parquet file or directory elsewhere: one Spark expression for each column. Its key must be unique and not null."""
     return {"path": path, "columns": columns}

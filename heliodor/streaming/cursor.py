@@ -14,10 +14,11 @@ def rows(plan: Plan, cancelled: Callable[[], bool], done: Callable[[], None]) ->
     try:
         at = {name: i for i, name in enumerate(plan.rows.columns)}
         places = [(at[f"c{p}"], at.get(f"s{p}")) for p in plan.picks]
-        for row in plan.rows.toLocalIterator(prefetchPartitions=False):
-            if cancelled():
-                raise DbError("CANCELLED", "the statement was cancelled")
-            yield tuple(from_stored(row[c], None if s is None else row[s]) for c, s in places)
+        for part in plan.parts or [plan.rows]:
+            for row in part.toLocalIterator(prefetchPartitions=False):
+                if cancelled():
+                    raise DbError("CANCELLED", "the statement was cancelled")
+                yield tuple(from_stored(row[c], None if s is None else row[s]) for c, s in places)
     except DbError:
         raise
     except Exception as e:
