@@ -6,6 +6,8 @@ returns its SELECT as a DataFrame.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -36,8 +38,10 @@ def attach(session: Session, sf_dir: str, names: list[str]) -> None:
 
 
 def scratch(spark: SparkSession) -> Session:
-    """A session on an empty database in the shared folder."""
-    return Session(spark, Registry(f"{shared_root(spark)}/heliodor-db-{uuid.uuid4().hex}"), "default")
+    """A session on an empty database in the shared folder, deleted when the driver ends."""
+    root = f"{shared_root(spark)}/heliodor-db-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return Session(spark, Registry(root), "default")
 
 
 def _run(table: str, *statements: str) -> Callable[[SparkSession, str], DataFrame]:
