@@ -69,6 +69,15 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def regrouped(df: DataFrame, column: str) -> DataFrame:
+    """The same rows, dealt anew by the next join.
+
+    A join reads an aggregate where it lies; Spark can then not split a key that is hot on the other side. This hides
+    that the rows are dealt by the column already.
+    """
+    return df.withColumn(column, F.greatest(column, column))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import drop_table, regrouped, table
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,7 +14,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         sides = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = sides.join(least, "u")
+    joined = sides.join(regrouped(least, "u"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, blocks, drop_table, mix, table
+from .common import Prefix, blocks, drop_table, mix, regrouped, table
 from .graph import components
 
 SHINGLE = 5
@@ -201,10 +201,10 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = table(spark, docs.mapInArrow(_sketch(bands, rows), f"id {id_type}, n long, f1 long, f2 long, bands array<long>"), "sets")
     named = sets.filter("n > 0 and id is not null")
     classes = named.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
-    member = table(spark, named.join(classes, ["f1", "f2"]).select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    member = table(spark, named.join(regrouped(classes, "f1"), ["f1", "f2"]).select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
     buckets = member.filter("bands is not null").select("rep", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).filter("p < q").select("band", "p")
-    near = buckets.join(shared, "band").filter("rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b"))
+    near = buckets.join(regrouped(shared, "band"), "band").filter("rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b"))
     candidates = components(near, "candidates")
     links_found = components(_confirmed(docs, candidates, id_type, least), "links")
     whole = member.select("id", "rep").distinct().join(links_found, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("label", "rep").alias("component"))

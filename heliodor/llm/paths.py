@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Block, Prefix, blocks, drop_table, ranges, table
+from .common import _BYTE, Block, Prefix, blocks, drop_table, ranges, regrouped, table
 
 #: Bits of a packed minimizer that hold its place in the block.
 PLACE_BITS = 26
@@ -143,7 +143,7 @@ def repeated(df: DataFrame, kind: str, width: int, k: int, branch: Callable | No
 
     edges = table(spark, with_paths(2).mapInArrow(windows, f"w long, id {id_type}, th int, start int"), "edges")
     twice = edges.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    found = edges.join(twice, "w").select("id", "th", F.struct("start", F.lit(1).alias("n")).alias("p"))
+    found = edges.join(regrouped(twice, "w"), "w").select("id", "th", F.struct("start", F.lit(1).alias("n")).alias("p"))
     if branch is not None and small:
         found = found.unionByName(branch(with_paths(1).mapInArrow(spans, f"mhash long, sk long, lead int, id {id_type}, th int, start int, span binary")).select("id", "th", F.struct("start", "n").alias("p")))
     plain = paths.select("id", "th", F.explode(F.filter("paths", lambda p: p["how"] == 0)).alias("p")).select("id", "th", F.struct("p.start", "p.n").alias("p"))
