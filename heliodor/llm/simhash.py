@@ -19,14 +19,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Block, blocks, mix, table
 
 BITS = 128
 RADIUS, SPARE = 3, 2
 HEAVIEST = 16
+RANGES = 4
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
 
@@ -106,23 +109,43 @@ def within(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, spare: int
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, n_chars, edited_sha256, the fingerprints of the text, its edited text and the next text (hi/lo pairs).
 
-    Texts are dealt once, by ranges of ids; the first text of each range is sent to the range before too.
+    Texts are dealt once, by ranges of (numeric) ids; the first text of each range is sent to the range before too.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    id_type = docs.schema["id"].dataType.simpleString()
+    id_type, id_arrow_type = docs.schema["id"].dataType.simpleString(), to_arrow_type(docs.schema["id"].dataType)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(docs.filter("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    part = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) if bounds else F.lit(0))
+    # Several ranges a task, so that hashing them to tasks evens out.
+    m = RANGES * n
+    bounds = np.array(sorted(set(docs.filter("id is not null").approxQuantile("id", [i / m for i in range(1, m)], 1 / (4 * m)))), dtype=np.float64)
+
+    def part_of(column: pa.Array) -> np.ndarray:
+        """Number of the range of each id, -1 for null."""
+        ids = pc.fill_null(column.cast(pa.float64(), safe=False), 0).to_numpy(zero_copy_only=False)
+        return np.where(pc.is_null(column).to_numpy(zero_copy_only=False), -1, np.searchsorted(bounds, ids)).astype(np.int32)
+
+    def smallest(batches):
+        for batch in batches:
+            parts = part_of(batch.column("id"))
+            rows = pa.table([pa.array(parts), batch.column("id")], ["part", "first"]).filter(pa.array(parts >= 0))
+            least = rows.group_by("part").aggregate([("first", "min")]).select(["part", "first_min"]).rename_columns(["part", "first"])
+            yield from least.combine_chunks().to_batches()
+
     # One row a range.
-    firsts = [(r.part, r.first) for r in docs.select(part.alias("part"), "id").filter("part >= 0").groupBy("part").agg(F.min("id").alias("first")).orderBy("part").collect()]
-    here = F.struct(part.alias("part"), F.lit(0).alias("ghost"))
-    copies = F.array(here)
-    if firsts:
-        before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-        target = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("id"))
-        copies = F.when(F.col("id").isin(list(before)), F.array(here, F.struct(target.alias("part"), F.lit(1).alias("ghost")))).otherwise(copies)
-    dealt = docs.select("id", "text", F.explode(copies).alias("c")).select("c.part", "c.ghost", "id", "text")
+    firsts = docs.select("id").mapInArrow(smallest, f"part int, first {id_type}").groupBy("part").agg(F.min("first").alias("first")).orderBy("part").collect()
+    before = {r.first: firsts[i - 1].part for i, r in enumerate(firsts)}
+
+    def deal(batches):
+        known = pa.array(list(before), id_arrow_type)
+        for batch in batches:
+            columns = [batch.column("id"), batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(columns[0])), pa.array(np.zeros(batch.num_rows, np.int32)), *columns], ["part", "ghost", "id", "text"])
+            first = pc.fill_null(pc.is_in(columns[0], value_set=known), False)
+            ids, texts = (c.filter(first) for c in columns)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([before[i] for i in ids.to_pylist()], pa.int32()), pa.array(np.ones(len(ids), np.int32)), ids, texts], ["part", "ghost", "id", "text"])
+
+    dealt = docs.select("id", "text").mapInArrow(deal, f"part int, ghost int, id {id_type}, text string")
     dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "id", "text")
 
     def run(batches):
@@ -146,11 +169,10 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             other = [i for i, x in enumerate(following) if i + 1 == len(texts) or x is not texts[i + 1]]
             after[other] = fingerprints(Block(pa.array([following[i] for i in other], pa.string()))).view(np.int64)
             f.append(after)
-            columns = [pa.array(ids, id_arrow), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited])]
+            columns = [pa.array(ids, id_arrow_type), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited])]
             columns += [pa.array(x[:, j]) for x in f for j in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, ["id", "n_chars", "edited_sha256", "hi", "lo", "edited_hi", "edited_lo", "next_hi", "next_lo"])
 
-        id_arrow = id_arrow_type
         ids, texts, edited, following, size = [], [], [], [], 0
         for i, text, after in rows():
             half = len(text) // 2
@@ -165,9 +187,6 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if ids:
             yield emit(ids, texts, edited, following)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_arrow_type = to_arrow_type(docs.schema["id"].dataType)
     out = dealt.mapInArrow(run, f"id {id_type}, n_chars long, edited_sha256 string, hi long, lo long, edited_hi long, edited_lo long, next_hi long, next_lo long")
     return out.withColumnRenamed("id", id_col)
 
