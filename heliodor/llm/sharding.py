@@ -2,7 +2,8 @@
 
 Atomic groups (rows with equal texts) stand in the order of a 64-bit hash of their
 text. The smallest feasible capacity of a shard is found by binary search, each
-capacity checked greedily, and the order is cut there. The driver sees hash
+capacity checked greedily, and the order is cut within it: each cut as near as it can be to an
+equal share of what is left, as long as the rest still fits. The driver sees hash
 *segments*, never groups: a segment starts as one of 2**12 equal hash ranges and only the
 segments that a cut may fall into are split further, by one job a round, until each of
 those holds a single group. What the driver holds does not grow with the input.
@@ -90,6 +91,28 @@ def _touched(segments: list[tuple], shards: int, low: int, high: int) -> list[in
     return sorted(i for i in found if segments[i][3] > 1)
 
 
+def _level(segments: list[tuple], shards: int, cap: int) -> tuple[list[int], list[int]]:
+    """Cuts near equal shares under a feasible capacity, and the segments with several groups into which a share's end falls."""
+    sizes = [s[2] for s in segments]
+    ends = list(accumulate(sizes))
+    cuts, coarse, at = [], [], 0
+    for left in range(shards - 1, 0, -1):
+        if at == len(segments):
+            break
+        base = ends[at - 1] if at else 0
+        goal = base + (ends[-1] - base) / (left + 1)
+        near = bisect_right(ends, goal, at)
+        if near < len(segments) and segments[near][3] > 1:
+            coarse.append(near)
+        last = bisect_right(ends, base + cap, at)
+        for i in sorted({near, near + 1, last}, key=lambda i: abs((ends[i - 1] if i else 0) - goal)):
+            if at < i <= last and _greedy(sizes[i:], list(accumulate(sizes[i:])), cap, left) is not None:
+                break
+        cuts.append(i)
+        at = i
+    return cuts, coarse
+
+
 def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """Minimax capacity and the first hash of each shard but the first.
 
@@ -107,10 +130,14 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         high, _ = _search([s[2] for s in segments], shards)
         low = _fluid(segments, shards)
         split = _touched(segments, shards, low, high)
+        cuts: list[int] = []
+        if not split:
+            high, _ = _search([s[2] for s in segments], shards)
+            cuts, split = _level(segments, shards, high)
         if not split:
             drop_table(spark, kept)
-            high, cuts = _search([s[2] for s in segments], shards)
-            return high, [segments[i][5] if segments[i][3] == 1 else segments[i][0] << (BITS - segments[i][1]) for i in cuts]
+            ends = [segments[i][5] if segments[i][3] == 1 else segments[i][0] << (BITS - segments[i][1]) for i in cuts if i < len(segments)]
+            return high, ends
         parts = []
         for bits in sorted({segments[i][1] for i in split}):
             keys = [segments[i][0] for i in split if segments[i][1] == bits]

@@ -48,9 +48,23 @@ def test_minimal(spark, monkeypatch, seed, shards):
         loads[min(where[h])] = loads.get(min(where[h]), 0) + groups[h]
     assert max(loads.values()) <= smallest([groups[h] for h in order], shards)
     assert max(loads) < shards
+    # Near equal shares where no group stands in the way.
+    assert min(loads.values()) >= sum(loads.values()) / shards - 2 * max(groups.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_a_large_group_leaves_no_shard_empty(spark):
+    rng = random.Random(9)
+    texts = ["copy " * 400] * 40 + ["x" * rng.randint(50, 400) + str(i) for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    loads = {r.shard: r.n for r in sharding.assign(df, "doc_id", "text", 24).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert len(loads) == 24
+    largest = 40 * (2000 + 8)
+    rest = sorted(loads.values())[:-1]
+    # The shard before the large group holds what is left over.
+    assert max(loads.values()) >= largest and rest[1] > 0.5 * sum(rest) / 23
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(None, "a"), (1, None), (1, None)], "doc_id long, text string")
     got = sharding.assign(df, "doc_id", "text", 24).collect()
