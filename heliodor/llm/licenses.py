@@ -91,7 +91,7 @@ def base_places(text: Column) -> list[Column]:
 
 
 def index_labels(df: DataFrame, key: str, text_col: str, rarest: int = RAREST, least: float = LEAST) -> DataFrame:
-    """key, found (array of labels), score for every key with a verified template. df: one row a key."""
+    """key, found (array of labels), score for every key with a verified template. Rows with equal keys have equal texts and count as one, but for the document counts."""
     total, counts = document_counts(df, text_col)
     idf = {w: math.log((1 + total) / (1 + n)) + 1e-3 for w, n in counts.items()}
     postings, limits = [], []
@@ -112,7 +112,7 @@ def index_labels(df: DataFrame, key: str, text_col: str, rarest: int = RAREST, l
             here = here & F.lower(text).contains(w)
         some = some | (here & text.rlike(phrase_pattern(phrase)))
     vocab = F.array(*map(F.lit, vocabulary()))
-    files = df.select(key, F.col(text_col).alias("__t")).filter(some).withColumn("__w", words(F.col("__t")))
+    files = df.select(key, F.col(text_col).alias("__t")).filter(some).dropDuplicates([key]).withColumn("__w", words(F.col("__t")))
     weight = F.create_map(*[F.lit(x) for w in vocabulary() for x in (w, idf[w])])
     held = F.array_intersect("__w", vocab)
     rare = F.slice(F.sort_array(F.transform(held, lambda w: F.struct(F.element_at(weight, w).alias("idf"), w.alias("w"))), asc=False), 1, rarest)

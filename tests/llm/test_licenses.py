@@ -71,3 +71,14 @@ def test_native_plan_and_rules(spark):
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
     assert sorted((str(r.doc_id), r.labels) for r in out.collect()) == [("1", ""), ("1", ""), ("None", "mit")]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_copies_keep_index_labels(spark):
+    texts = ["x redistribution and use in source and binary forms with or without modification are permitted y"] * 2
+    texts += ["Licensed under CC BY-NC 4.0"] * 500 + ["licensed under cc by nc 4 0 once"] + ["other words"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan(df).collect()}
+    assert len(got) == len(texts)
+    for i, (labels, best) in enumerate(found(texts)):
+        assert labels == ({"bsd"} if i < 2 else {"cc-by-nc"} if i < 503 else set())
+        assert got[i][0] == ",".join(labels) and abs(got[i][1] - best) < 1e-9
