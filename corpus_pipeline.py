@@ -1,7 +1,7 @@
 """The corpus pipeline: five operators over documents, each on all that the one before it kept.
 
 toxicity      rejects documents that score 0.7 or more
-near_dedup    keeps the smallest id of each component of near copies
+near_dedup    keeps the smallest id of each component of near copies (similarity 0.8 or more)
 decontaminate rejects documents that hold a benchmark item
 mix           takes each source's documents as often as its target says, in curriculum order
 shard         puts every taken row into one of 24 shards of near equal bytes, with a slot
@@ -20,6 +20,8 @@ from heliodor.llm.common import table
 from heliodor.llm.queries import read
 
 SHARDS = 24
+#: Per cent of similarity of near copies, and bands and rows that miss 2 in a million there.
+NEAR, BANDS, ROWS = 80, 56, 7
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, least=NEAR, bands=BANDS, rows=ROWS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

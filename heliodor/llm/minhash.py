@@ -11,7 +11,8 @@ bucket is expanded into pairs. Every pair of a candidate component is then decid
 sets, inside tasks: a component is cut into blocks of bounded size and each pair of blocks is
 one unit of work, so a large component is spread over many tasks; a unit gives back a
 spanning forest of its links, not the links. A link can be missed only if no band agrees:
-with 40 bands of 8 rows, at most 3 in a million at a similarity of 0.85.
+with 40 bands of 8 rows, at most 3 in a million at a similarity of 0.85; with 56 bands
+of 7 rows, 2 in a million at 0.8.
 
 Rules: null or wordless texts have an empty set and are linked with nothing; a text of fewer words than a
 shingle has its whole sequence as its one shingle; rows with equal ids are one document of
@@ -235,7 +236,7 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, id_type: str, least: int)
     return ordered.mapInArrow(_units(least), f"a {id_type}, b {id_type}")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows of df without the near copies: of each component the row with its smallest id stays. Rows with a null id stay."""
-    kept = components_of(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
+    kept = components_of(df, id_col, text_col, least, bands, rows).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
     return df.join(kept, df[id_col] == F.col("__kept"), "left").filter(F.col("__kept").isNotNull() | df[id_col].isNull()).drop("__kept")

@@ -110,3 +110,20 @@ def test_held_out_labels_are_not_learned(spark, stages):
     flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.fit(docs, x, ~held) for x in (labels, flipped))
     assert (a.weight == b.weight).all() and a.bias == b.bias
+
+
+def test_near_dedup_takes_copies_from_80(spark):
+    rng = random.Random(9)
+    docs = []
+    for i in range(0, 120, 2):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(100)]
+        copy = list(words)
+        for j in [20, 60, 80][: 1 + i // 2 % 3]:
+            copy[j] = "changed"
+        docs += [(i, " ".join(words)), (i + 1, " ".join(copy))]
+    sets = [{tuple(w[j : j + 5]) for j in range(96)} for w in (t.split() for _, t in docs)]
+    shares = {i: len(sets[i - 1] & sets[i]) / len(sets[i - 1] | sets[i]) for i, _ in docs if i % 2}
+    assert {i % 6 for i, x in shares.items() if 0.8 <= x < 0.85} == {3} and {i % 6 for i, x in shares.items() if x < 0.8} == {5}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()}
+    assert kept == {i for i, _ in docs if i % 2 == 0 or shares[i] < 0.8}
