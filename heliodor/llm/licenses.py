@@ -1,11 +1,10 @@
 """License scan by a positional rare-token index. DataFrame functions only.
 
 Every licence template is a word sequence with a mandatory key phrase inside it. The index
-has a posting (template, position) for each template word. Per file, the licence
-words that are rarest over all documents (highest IDF) are looked up, their postings are
-grouped by template and relative position (file position less template position),
-and where enough of a template's IDF weight meets at one relative position, the key phrase
-must stand there in full.
+has a posting (template, position) for the rarest word (highest IDF over all documents) of each
+key phrase. Each place of such a word in a file proposes a template at a relative position
+(file position less template position). There the key phrase must stand in full, so no place
+is missed, and enough of the template's IDF weight must be met by the words of the file.
 
 Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Base labels are places
 where a base phrase's words stand consecutively; the index adds labels, base ones stay.
@@ -21,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, regrouped
 
 # Base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -45,8 +44,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("proprietary", "all rights reserved no part may be reproduced without permission", "all rights reserved"),
 ]
-#: Highest-IDF licence words looked up in each file.
-RAREST = 24
+#: Cap on the licence words of a file that count towards a template: none (read by the test of brute force only).
+RAREST = None
 #: Share of a template's IDF weight that must meet at one relative position.
 LEAST = 0.6
 
@@ -90,19 +89,19 @@ def base_places(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(phrase_pattern(p))) for p, _ in BASE]
 
 
-def index_labels(df: DataFrame, key: str, text_col: str, rarest: int = RAREST, least: float = LEAST) -> DataFrame:
+def index_labels(df: DataFrame, key: str, text_col: str, least: float = LEAST) -> DataFrame:
     """key, found (array of labels), score for every key with a verified template. Rows with equal keys have equal texts and count as one, but for the document counts."""
     total, counts = document_counts(df, text_col)
     idf = {w: math.log((1 + total) / (1 + n)) + 1e-3 for w, n in counts.items()}
-    postings, limits = [], []
-    for t, (label, notice, phrase) in enumerate(TEMPLATES):
+    postings = []
+    for label, notice, phrase in TEMPLATES:
         notice, phrase = notice.split(), phrase.split()
-        at = next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
-        postings += [(w, t, i, idf[w], int(at <= i < at + len(phrase))) for i, w in enumerate(notice)]
-        limits.append((t, label, sum(idf[w] for w in notice), len(phrase)))
-    spark = df.sparkSession
-    posting = spark.createDataFrame(postings, "w string, t int, at int, idf double, is_key int")
-    limit = spark.createDataFrame(limits, "t int, label string, whole double, n_key int")
+        first = next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
+        at = max(range(first, first + len(phrase)), key=lambda i: (idf[notice[i]], -i))
+        cells = [(w, i - at, idf[w], first <= i < first + len(phrase)) for i, w in enumerate(notice)]
+        postings.append((notice[at], label, cells, sum(idf[w] for w in notice)))
+    # The index is as large as the templates, a constant of this module.
+    posting = df.sparkSession.createDataFrame(postings, "w string, label string, notice array<struct<w: string, off: int, idf: double, is_key: boolean>>, whole double")
     # A template can only be verified where its key phrase stands: first a cheap look for the
     # phrase's words, then for the phrase.
     text, some = F.col(text_col), F.lit(False)
@@ -111,17 +110,18 @@ def index_labels(df: DataFrame, key: str, text_col: str, rarest: int = RAREST, l
         for w in sorted(set(phrase.split()), key=lambda w: (-idf[w], w)):
             here = here & F.lower(text).contains(w)
         some = some | (here & text.rlike(phrase_pattern(phrase)))
-    vocab = F.array(*map(F.lit, vocabulary()))
     files = df.select(key, F.col(text_col).alias("__t")).filter(some).dropDuplicates([key]).withColumn("__w", words(F.col("__t")))
-    weight = F.create_map(*[F.lit(x) for w in vocabulary() for x in (w, idf[w])])
-    held = F.array_intersect("__w", vocab)
-    rare = F.slice(F.sort_array(F.transform(held, lambda w: F.struct(F.element_at(weight, w).alias("idf"), w.alias("w"))), asc=False), 1, rarest)
-    files = files.withColumn("__rare", F.transform(rare, lambda x: x["w"]))
-    places = files.select(key, "__rare", F.posexplode("__w").alias("__at", "__word")).filter(F.array_contains("__rare", F.col("__word")))
-    # The index is as large as the templates, a constant of this module.
-    hits = places.join(F.broadcast(posting), F.col("__word") == F.col("w")).withColumn("__shift", F.col("__at") - F.col("at"))
-    met = hits.groupBy(key, "t", "__shift").agg(F.sum("idf").alias("met"), F.sum("is_key").alias("keys"))
-    good = met.join(F.broadcast(limit), "t").filter((F.col("keys") == F.col("n_key")) & (F.col("met") >= least * F.col("whole")))
+    # Each proposing word with the words around it, as far as any template reaches; null beyond the text.
+    reach = max(len(notice.split()) for _, notice, _ in TEMPLATES)
+    around = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
+    proposing = sorted({p[0] for p in postings})
+    seen = F.transform("__w", lambda w, i: F.when(w.isin(proposing), F.transform(around, lambda j: F.get("__w", i + j))))
+    places = files.select(key, F.explode(F.filter(seen, lambda x: x.isNotNull())).alias("__near"))
+    hits = places.join(F.broadcast(posting), F.get("__near", F.lit(reach)) == F.col("w"))
+    stands = lambda x: F.coalesce(F.get("__near", x["off"] + reach) == x["w"], F.lit(False))
+    hits = hits.filter(F.forall("notice", lambda x: ~x["is_key"] | stands(x)))
+    hits = hits.withColumn("met", F.aggregate("notice", F.lit(0.0), lambda met, x: met + F.when(stands(x), x["idf"]).otherwise(0.0)))
+    good = hits.filter(F.col("met") >= least * F.col("whole"))
     return good.groupBy(key).agg(F.collect_set("label").alias("__found"), F.max(F.least(F.lit(1.0), F.col("met") / F.col("whole"))).alias("__score"))
 
 
@@ -130,7 +130,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     rows = rows.withColumn("__key", F.xxhash64("__text"))
     found = index_labels(rows, "__key", "__text")
-    found = found.withColumnRenamed("__key", "__k")
+    found = regrouped(found.withColumnRenamed("__key", "__k"), "__k")
     text, has = F.col("__text"), F.lower(F.col("__text")).contains("license")
     each = [F.when(has, c).otherwise(F.lit(0)) for c in base_places(text)]
     rows = rows.withColumn("__n", F.array(*each))

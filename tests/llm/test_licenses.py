@@ -82,3 +82,15 @@ def test_copies_keep_index_labels(spark):
     for i, (labels, best) in enumerate(found(texts)):
         assert labels == ({"bsd"} if i < 2 else {"cc-by-nc"} if i < 503 else set())
         assert got[i][0] == ",".join(labels) and abs(got[i][1] - best) < 1e-9
+
+
+def test_files_of_many_licence_words(spark):
+    notices = [n for _, n, _ in L.TEMPLATES]
+    texts = [" ".join(notices), "all rights reserved no part may be reproduced without permission " + " ".join(notices[:9]) + " cc by nc"]
+    texts += ["licensed under cc by nc 4 0 " + " filler ".join(sorted(L.vocabulary()))]
+    texts += ["of and in the use by is all " + n for n in notices] + ["of and in the use by is all"] * 30 + ["x"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.labels.split(",") for r in L.scan(df).collect()}
+    assert set(got[0]) == {label for label, _, _ in L.TEMPLATES}
+    assert {"proprietary", "mit", "apache", "gpl", "lgpl", "agpl", "bsd"} <= set(got[1])
+    assert got[2] == ["cc-by-nc"]
