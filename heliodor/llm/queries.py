@@ -48,7 +48,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.with_next(read(spark, sf_dir, "documents"))
     rows = table(spark, rows, "prints")
     c = F.col
-    near = simhash.near_counts(rows.select("doc_id", "hi", "lo"), c("doc_id") % 20 == 0).distinct().withColumnRenamed("doc_id", "i")
+    near = simhash.near_counts(rows.select("doc_id", "hi", "lo"), c("doc_id") % 20 == 0, radius=simhash.NEAR).distinct().withColumnRenamed("doc_id", "i")
     return rows.join(near, c("doc_id") == c("i"), "left").select(
         "doc_id", "n_chars", "edited_sha256",
         simhash.text_of(c("hi"), c("lo")).alias("fingerprint"), simhash.text_of(c("edited_hi"), c("edited_lo")).alias("edited_fingerprint"),

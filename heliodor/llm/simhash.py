@@ -6,6 +6,9 @@ within a Hamming radius are found by permuted block tables: the bits are split i
 radius + SPARE blocks, and for every choice of SPARE blocks a table is keyed by those
 blocks (the permutation that brings them to the front). Two fingerprints within the radius agree on SPARE
 blocks at least, so some table brings them together, and the distance is then checked in full.
+Choices of blocks grow too many for wide radii: there one table is keyed by each of PROBED blocks, and asked
+fingerprints are looked up with every change of a block's share of the radius (shares add up so that not
+all blocks can exceed theirs); the guarantee is the same.
 
 Rules: null and wordless texts have the fingerprint 0; equal texts have equal ones; ties of ids are
 broken by text; rows with a null id have no next document (their edited text is their first half); a single document is its own next one;
@@ -28,6 +31,8 @@ from .common import Block, blocks, mix, table
 
 BITS = 128
 RADIUS, SPARE = 3, 2
+#: Radius of near copies (5-word Jaccard similarity of 0.8 or more): at sf0.1 their fingerprints are up to 14 bits apart.
+NEAR, PROBED = 14, 6
 HEAVIEST = 16
 RANGES = 4
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -106,6 +111,30 @@ def within(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, spare: int
     return left.join(right, ["table", "key"]).filter(far <= radius).select("hi", "lo", "hi2", "lo2").distinct()
 
 
+def probed(prints: DataFrame, asked: DataFrame, radius: int, n: int = PROBED) -> DataFrame:
+    """As within, for wide radii and prints(hi, lo, n) of one row a fingerprint: pairs (hi, lo, hi2, lo2, n), each made once.
+
+    Asked fingerprints are changed in one block by up to its share of bits and looked up.
+    """
+    edges = [round(i * BITS / n) for i in range(n + 1)]
+    # Were more bits than its share changed in each block, these would be radius + 1 at least.
+    shares = [(radius + 1 + i) // n - 1 for i in range(n)]
+    blocks_of = lambda hi, lo: [_block(hi, lo, a, b) for a, b in zip(edges, edges[1:])]
+    parts = F.array(*blocks_of(F.col("hi"), F.col("lo")))
+    changes = [(t, sum(1 << b for b in bits)) for t, share in enumerate(shares) for k in range(share + 1) for bits in combinations(range(edges[t + 1] - edges[t]), k)]
+    # As many as the constants say.
+    changes = F.broadcast(asked.sparkSession.createDataFrame(changes, "table int, change long"))
+    key = lambda change: F.xxhash64("table", F.get(F.col("parts"), F.col("table")).bitwiseXOR(change)).alias("key")
+    left = asked.select("hi", "lo").distinct().withColumn("parts", parts).crossJoin(changes).select("hi", "lo", "table", key(F.col("change")))
+    right = prints.withColumn("parts", parts).withColumn("table", F.explode(F.array(*[F.lit(t) for t, share in enumerate(shares) if share >= 0])))
+    right = right.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "n", key(F.lit(0).cast("long")))
+    hi, lo = F.col("hi").bitwiseXOR(F.col("hi2")), F.col("lo").bitwiseXOR(F.col("lo2"))
+    # Of the tables in which a pair meets, the first one makes it.
+    first = F.coalesce(*[F.when(F.bit_count(x) <= share, t) for t, (x, share) in enumerate(zip(blocks_of(hi, lo), shares))])
+    near = left.join(right, "key").filter((F.bit_count(hi) + F.bit_count(lo) <= radius) & (F.col("table") == first))
+    return near.select("hi", "lo", "hi2", "lo2", "n")
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, n_chars, edited_sha256, the fingerprints of the text, its edited text and the next text (hi/lo pairs).
 
@@ -194,7 +223,10 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def near_counts(prints: DataFrame, asked: Column, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """id, n_near for the rows of prints(id, hi, lo) that satisfy asked: how many other rows lie within the radius."""
     classes = prints.groupBy("hi", "lo").agg(F.count("*").alias("n"))
-    pairs = within(classes, prints.filter(asked), radius)
-    sized = pairs.join(classes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "n"), ["hi2", "lo2"])
+    if radius > RADIUS:
+        sized = probed(classes, prints.filter(asked), radius)
+    else:
+        pairs = within(classes, prints.filter(asked), radius)
+        sized = pairs.join(classes.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "n"), ["hi2", "lo2"])
     totals = sized.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
     return prints.filter(asked).join(totals, ["hi", "lo"]).select(id_col, (F.col("n") - 1).alias("n_near"))

@@ -66,3 +66,38 @@ def test_neighbours(spark, radius, spare):
     if radius == 3:
         counts = {r.doc_id: r.n_near for r in simhash.near_counts(df, F.col("doc_id") % 5 == 0).collect()}
         assert counts == {i: sum((p ^ q).bit_count() <= 3 for q in prints) - 1 for i, p in enumerate(prints) if i % 5 == 0}
+
+
+@pytest.mark.parametrize("radius", [3, 7, 14])
+def test_wide_neighbours(spark, radius):
+    rng = random.Random(radius)
+    prints = [rng.getrandbits(128) for _ in range(20)]
+    for p in list(prints):
+        for distance in range(radius - 2, radius + 3):
+            q = p
+            for bit in rng.sample(range(128), distance):
+                q ^= 1 << bit
+            prints.append(q)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    df = spark.createDataFrame([(i, signed(p >> 64), signed(p % 2**64)) for i, p in enumerate(prints)], "doc_id long, hi long, lo long")
+    rows = simhash.probed(df.groupBy("hi", "lo").agg(F.count("*").alias("n")), df.filter("doc_id % 5 = 0"), radius).collect()
+    got = [((r.hi % 2**64) << 64 | r.lo % 2**64, (r.hi2 % 2**64) << 64 | r.lo2 % 2**64) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == {(p, q) for i, p in enumerate(prints) if i % 5 == 0 for q in prints if (p ^ q).bit_count() <= radius}
+
+
+def test_query_counts_near_copies(spark, tmp_path):
+    from heliodor.llm import queries
+
+    rng = random.Random(3)
+    docs = []
+    for i in range(0, 400, 20):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(100)]
+        copy = list(words)
+        copy[30], copy[70] = "changed", "words"
+        docs += [(i, " ".join(words)), (i + 1, " ".join(copy))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.n_near) for r in queries.op7_simhash(spark, str(tmp_path)).collect()}
+    for i, (p, near) in got.items():
+        assert near == (sum((p ^ q).bit_count() <= simhash.NEAR for q, _ in got.values()) - 1 if i % 20 == 0 else None)
+    # Similarity 0.81 and more: the radius is met by nearly all.
+    assert sum(near == 1 for i, (_, near) in got.items() if i % 20 == 0) >= 19
