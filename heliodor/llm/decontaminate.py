@@ -4,8 +4,8 @@ Passages of PASSAGE words are rows of a TF-IDF matrix over hashed terms. One pas
 terms (IDF over all passages), one pass forms A'A times a random matrix, block by block on the
 executors; from that product a randomised Nystrom decomposition gives the leading right singular
 vectors and values, by which passages are folded in. Benchmark items and sliding windows of all documents (several
-scales, one fitting each item) are projected and compared by cosine; a window that comes close is
-checked by the longest common subsequence of words with the item and by its answer (the
+scales, one fitting each item) are projected and compared by cosine, where the text around holds enough of an
+item's terms for the subsequence; each such window (unless a least cosine is asked for) is checked by the longest common subsequence of words with the item and by its answer (the
 item's last sentence), which also finds paraphrases with words put in, left out or replaced.
 
 What the driver holds is terms x rank, whatever the input; the benchmark is read in blocks
@@ -28,7 +28,10 @@ from .common import Block, blocks, ranges
 TERM_BITS, RANK = 12, 64
 PASSAGE, STEP = 32, 8
 SCALES = (16, 32, 64)
-COSINE, LCS, ANSWER = 0.5, 0.7, 0.5
+#: Least cosine: none, so that only the exact checks decide.
+COSINE, LCS, ANSWER = -1.0, 0.7, 0.5
+#: Words of a piece of text for which items that it and its neighbours cannot hold are ruled out.
+REGION = 128
 BENCH_BLOCK = 512
 _TERMS = 1 << TERM_BITS
 _CHUNK = 64
@@ -187,6 +190,22 @@ class Items:
         self.queries = {s: (np.array([q[0] for q in qs], dtype=np.float32), np.array([q[1:] for q in qs], dtype=np.int64)) for s, qs in queries.items() if qs}
 
 
+def _able(items: Items, term: np.ndarray, bounds: np.ndarray, lcs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of REGION words x items: whether the piece and its neighbours, as far as a region reaches, hold enough of the item's terms; and each text's first piece."""
+    start, _, first = _pieces(bounds, REGION)
+    text, ends = np.repeat(np.arange(len(bounds) - 1), np.diff(first)), np.append(start, len(term))
+    bits, held = np.ascontiguousarray(items.bits.T), np.empty((len(start), len(items.ids)), dtype=np.uint64)
+    for a in range(0, len(start), 32):
+        b = min(a + 32, len(start))
+        held[a:b] = np.bitwise_or.reduceat(bits[term[ends[a] : ends[b]]], start[a:b] - ends[a], axis=0)
+    near = held.copy()
+    for k in range(1, -(-(max(items.sizes) + 2 * max(SCALES) + STEP) // REGION) + 1):
+        same = (text[k:] == text[:-k])[:, None]
+        near[k:] |= np.where(same, held[:-k], np.uint64(0))
+        near[:-k] |= np.where(same, held[k:], np.uint64(0))
+    return np.bitwise_count(near) >= items.distinct - (1 - lcs) * np.array(items.sizes), first
+
+
 def _search(items: Items, weights, vectors, cosine: float, lcs: float, answer: float):
     def run(batches):
         projector = np.append(vectors * weights[:, None], np.zeros((1, vectors.shape[1]), np.float32), axis=0)
@@ -195,10 +214,13 @@ def _search(items: Items, weights, vectors, cosine: float, lcs: float, answer: f
             words, term, bounds = _terms(block)
             start, place, first = _pieces(bounds, STEP, most - 1)
             best: dict[tuple[int, int], tuple] = {}
-            if len(start):
+            able_in, piece = _able(items, term, bounds, lcs) if len(start) and items.ids else (np.zeros((0, 0), bool), None)
+            if able_in.any():
                 half = np.zeros((int(first[-1]) + most, projector.shape[1]), dtype=np.float32)
                 half[place] = _sums(projector, term.astype(np.int64), start, STEP)
                 text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+                inner = np.minimum((np.arange(len(text_of)) - first[text_of]) * STEP // REGION, np.diff(piece)[text_of] - 1)
+                piece_of = piece[text_of] + inner
                 window, have = half, 1
                 for scale in SCALES:
                     while have * STEP < scale:
@@ -207,9 +229,11 @@ def _search(items: Items, weights, vectors, cosine: float, lcs: float, answer: f
                     if scale not in items.queries:
                         continue
                     matrix, names = items.queries[scale]
-                    norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), np.float32(1e-30))
                     close = window @ matrix.T
-                    w, q = np.nonzero(close[: len(text_of)] > (cosine * norm[: len(text_of)])[:, None])
+                    w, q = np.nonzero(able_in[:, names[:, 0]][piece_of])
+                    passed = close[w, q] >= (cosine - 1e-6) * norm[w]
+                    w, q = w[passed], q[passed]
                     if not len(w):
                         continue
                     item_of, text = names[q, 0], text_of[w]

@@ -78,3 +78,27 @@ def test_singular_values(spark):
     want = np.linalg.svd(a, compute_uv=False)
     assert np.allclose(values[:3], want[:3], rtol=0.1)
     assert np.linalg.norm(a - a @ vectors @ vectors.T) < np.linalg.norm(a)
+
+
+def test_all_accepted_paraphrases_are_found(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    weights = [1 / (i + 2) for i in range(len(vocab))]
+    say = lambda n: " ".join(rng.choices(vocab, weights, k=n))
+    items = [(i, say(rng.choice([11, 16, 30, 60, 120])) + ". " + say(4) + ".") for i in range(20)]
+    docs, truth = [], set()
+    for i in range(400):
+        item, text = rng.choice(items)
+        words, copy, answer = say(rng.choice([150, 400])).split(), text.split(), text.split()[-4:]
+        for j in range(len(copy)):
+            if rng.random() < 0.3:
+                copy[j] = rng.choice(vocab)
+        if lcs(copy, text.split()) >= d.LCS * len(copy) and lcs(copy, answer) >= d.ANSWER * len(answer):
+            at = rng.randint(0, len(words))
+            words[at:at] = copy
+            truth.add((i, item))
+        docs.append((i, " ".join(words)))
+    assert len(truth) > 100
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in d.search(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert truth <= got
