@@ -5,14 +5,21 @@ units). Each window belongs to its minimizer: the smallest hash among its spans
 units. Neighbouring windows with one minimizer form a *path*, which is compacted at once
 where it is made, so the graph is handled by its paths (about 2 / (W-k+2) of the
 windows) rather than edge by edge. Equal windows have the same minimizer at the same place,
-hence:
+so a minimizer is a bucket of windows, and:
 
-* a minimizer seen once: no window of its path is repeated;
-* a minimizer whose paths are all equal (no branch): all its windows are repeated;
-* a minimizer with different paths (a branch): its windows are compared one by one.
+* a bucket with one path: nothing in it is repeated;
+* a bucket whose paths are all equal (no branch): all its windows are repeated;
+* a bucket with a few different paths: ``solve`` (if given) compares them, one row a different path;
+* a bucket with more than ``most`` of them is split by a deeper prefix, and so are its parts.
 
-Counts by minimizer are pre-aggregated; the marks come back by a join that Spark may split,
-so a passage found in a third of the texts is no hot group.
+The split: a window stands r units before its minimizer, 0 <= r <= W-k. All windows with lo <= r <= hi hold the
+same W-(hi-lo) units around the minimizer, their *core*. A path gives each range of r the piece with these windows, and
+ranges are bucketed by their core. The ranges get narrower from level to level; in the last one each holds a single
+window, which is its own core. So every bucket ends in one of the first three ways, at any size.
+
+Counts are pre-aggregated; marks come back by joins that Spark may split, so a passage found in a third of the texts is
+no hot group. Paths, pieces and windows are told apart by two 64-bit hashes (of the bucket and of all units), texts by
+id and a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Block, Prefix, blocks, drop_table, ranges, regrouped, table
+from .common import _BYTE, Block, Prefix, blocks, drop_table, mix, ranges, regrouped, table
 
-#: Bits of a packed minimizer that hold its place in the block.
+#: Bits of a packed minimizer that hold its place; longer blocks are cut in segments.
 PLACE_BITS = 26
-_PLACE = np.uint64((1 << PLACE_BITS) - 1)
 WINDOW_BLOCK = 1 << 20
+#: Bytes of spans that one task of ``solve`` gets.
+TASK_BYTES = 16 << 20
 
 
 def units(block: Block, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -41,21 +49,29 @@ def units(block: Block, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return _BYTE[block.data], block.offsets
 
 
-def cut(values: np.ndarray, bounds: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
+def _minima(grams: np.ndarray, span: int, place_bits: int) -> np.ndarray:
+    """Index of the smallest of each span of grams; the first one of equals. At most 2**place_bits grams."""
+    place = np.uint64((1 << place_bits) - 1)
+    low = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
+    have = 1
+    while have * 2 <= span:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if span > have:
+        low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
+    return (low & place).astype(np.int64)
+
+
+def cut(values: np.ndarray, bounds: np.ndarray, width: int, k: int, place_bits: int = PLACE_BITS) -> tuple[np.ndarray, ...]:
     """Text, first window, number of windows, minimizer, hash of all units and minimizer's place (from the first window) of each path."""
     n = len(values) - width + 1
     if n <= 0:
         return (*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int64))
     prefix = Prefix(values)
     grams = prefix.windows(k)
-    low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    span, have = width - k + 1, 1
-    while have * 2 <= span:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if span > have:
-        low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-    owner = (low & _PLACE).astype(np.int64)
+    span = width - k + 1
+    room = (1 << place_bits) - span
+    owner = np.concatenate([a + _minima(grams[a : a + room + span - 1], span, place_bits) for a in range(0, n, room)])
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     valid = np.zeros(n + 2, dtype=bool)
     valid[1:-1] = text[:n] == text[width - 1 :]
@@ -71,84 +87,128 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def repeated(df: DataFrame, kind: str, width: int, k: int, branch: Callable | None = None, small: int = 0) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _whole(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _lists(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Row of each entry of the batch's ``paths``, and the named fields of the entries."""
+    lists = batch.column("paths")
+    flat = lists.flatten()
+    of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+    return [of, *(np.asarray(flat.field(name)) for name in names)]
+
+
+def split_at(width: int, k: int) -> list[int]:
+    """Widths of the ranges of r, level by level."""
+    span = width - k + 1
+    return sorted({span, -(-span // 16), 1}, reverse=True)
+
+
+def repeated(df: DataFrame, kind: str, width: int, k: int, steps: list[int], solve: Callable | None = None, most: int = 1) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """For df(id, text): docs(id, th, text), marks(id, th, spans of repeated windows), and the tables to drop in the end.
 
-    branch(rows) resolves branching minimizers of at most ``small`` paths from rows(mhash, sk, lead,
-    id, th, start, span); all others are resolved by counting each window's hash.
+    steps: widths of the ranges of r of each level; the first holds all of them, the last one is 1. solve: mapInArrow
+    function from rows(key, sk, lead, copied, span), sorted by key, to the runs (key, sk, from, n) of repeated windows.
     """
     spark = df.sparkSession
-    docs = df.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.hash("text"))
+    docs = df.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     id_type = df.schema["id"].dataType.simpleString()
+    item = f"key long, sk long, lead int, id {id_type}, th long, start int, n int"
+    names = ["key", "sk", "lead", "id", "th", "start", "n"]
 
     def minimizers(batches):
         for _, block in blocks(batches, "text", WINDOW_BLOCK):
             _, _, _, m, sk, _ = cut(*units(block, kind), width, k)
-            yield pa.RecordBatch.from_arrays([_signed(m), _signed(sk)], ["mhash", "sk"])
+            yield pa.RecordBatch.from_arrays([_signed(m), _signed(sk)], ["key", "sk"])
 
     def places(batches):
         for batch, block in blocks(batches, "text", WINDOW_BLOCK):
-            of, start, n, m, _, _ = cut(*units(block, kind), width, k)
-            of = pa.array(of)
-            yield pa.RecordBatch.from_arrays([_signed(m), batch.column("id").take(of), batch.column("th").take(of), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["mhash", "id", "th", "start", "n"])
-
-    seen = docs.select("text").mapInArrow(minimizers, "mhash long, sk long")
-    seen = seen.groupBy("mhash").agg(F.count("*").alias("c"), F.min("sk").alias("a"), F.max("sk").alias("b")).filter("c > 1")
-    kind_of = F.when(F.col("a") == F.col("b"), 0).when(F.col("c") <= small, 1).otherwise(2)
-    again = table(spark, seen.select("mhash", kind_of.cast("byte").alias("how")), "minimizers")
-    marked = docs.mapInArrow(places, f"mhash long, id {id_type}, th int, start int, n int").join(again, "mhash")
-    paths = marked.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "how")).alias("paths"), F.max("how").alias("worst"))
-    paths = table(spark, paths, "paths")
-    drop_table(spark, again)
-
-    def chosen(batch, how):
-        """Text, start and count of the paths of that kind."""
-        lists = batch.column("paths")
-        flat = lists.flatten()
-        of = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-        keep = np.asarray(flat.field("how")) == how
-        return of[keep], np.asarray(flat.field("start"))[keep].astype(np.int64), np.asarray(flat.field("n"))[keep].astype(np.int64)
-
-    def windows(batches):
-        for batch, block in blocks(batches, "text", WINDOW_BLOCK):
-            values, bounds = units(block, kind)
-            of, start, n = chosen(batch, 2)
-            prefix = Prefix(values)
-            at = ranges(start + bounds[of], n)
-            text = np.repeat(of, n)
-            end = np.minimum(at + width, bounds[text + 1])
-            take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([_signed(prefix.spans(at, end)), batch.column("id").take(take), batch.column("th").take(take), pa.array((at - bounds[text]).astype(np.int32))], ["w", "id", "th", "start"])
-
-    def spans(batches):
-        for batch, block in blocks(batches, "text", WINDOW_BLOCK):
-            values, bounds = units(block, kind)
-            of, start, n = chosen(batch, 1)
-            of2, start2, _, m, sk, lead = cut(values, bounds, width, k)
-            # Each chosen path is one of those of cut(); both are keyed by text and start.
-            have = of2 * (1 << 40) + start2
-            at = np.searchsorted(have, of * (1 << 40) + start)
-            data = block.data.tobytes()
-            begin = start + bounds[of]
-            pieces = [data[a : a + c + width - 1] for a, c in zip(begin.tolist(), n.tolist())]
+            of, start, n, m, sk, lead = cut(*units(block, kind), width, k)
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([_signed(m[at]), _signed(sk[at]), pa.array(lead[at].astype(np.int32)), batch.column("id").take(take), batch.column("th").take(take), pa.array(start.astype(np.int32)), pa.array(pieces, pa.binary())], ["mhash", "sk", "lead", "id", "th", "start", "span"])
-
-    def same(a, b):
-        return a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-
-    def with_paths(how):
-        some = paths.filter(F.exists("paths", lambda p: p["how"] == how))
-        return docs.join(some, same(docs, some)).select(docs["id"], docs["th"], "text", "paths")
-
-    edges = table(spark, with_paths(2).mapInArrow(windows, f"w long, id {id_type}, th int, start int"), "edges")
-    twice = edges.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    found = edges.join(regrouped(twice, "w"), "w").select("id", "th", F.struct("start", F.lit(1).alias("n")).alias("p"))
-    if branch is not None and small:
-        found = found.unionByName(branch(with_paths(1).mapInArrow(spans, f"mhash long, sk long, lead int, id {id_type}, th int, start int, span binary")).select("id", "th", F.struct("start", "n").alias("p")))
-    plain = paths.select("id", "th", F.explode(F.filter("paths", lambda p: p["how"] == 0)).alias("p")).select("id", "th", F.struct("p.start", "p.n").alias("p"))
-    marks = found.unionByName(plain).groupBy("id", "th").agg(F.collect_set("p").alias("spans"))
-    return docs, marks, [paths, edges]
+            yield pa.RecordBatch.from_arrays([_signed(m), _signed(sk), _whole(lead), batch.column("id").take(take), batch.column("th").take(take), _whole(start), _whole(n)], names)
+
+    def pieces(step):
+        """The paths of each row, cut at every ``step`` of r, bucketed by bucket and core."""
+
+        def run(batches):
+            for batch, block in blocks(batches, "text", WINDOW_BLOCK):
+                values, bounds = units(block, kind)
+                of, start, n, lead, key = _lists(batch, "start", "n", "lead", "key")
+                low, high = (lead - n + 1) // step, lead // step
+                count = (high - low + 1).astype(np.int64)
+                part, at = ranges(low.astype(np.int64), count), np.repeat(np.arange(len(of)), count)
+                of, start, n, lead = of[at], start[at].astype(np.int64), n[at].astype(np.int64), lead[at].astype(np.int64)
+                lo, hi = part * step, np.minimum((part + 1) * step, width - k + 1) - 1
+                far, near = np.minimum(hi, lead), np.maximum(lo, lead - n + 1)
+                middle = bounds[of] + start + lead
+                prefix = Prefix(values)
+                with np.errstate(over="ignore"):
+                    bucket = mix(key[at].view(np.uint64) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                core = mix(bucket ^ prefix.spans(middle - lo, middle + width - hi))
+                whole = prefix.spans(middle - far, middle - near + width)
+                take = pa.array(of)
+                yield pa.RecordBatch.from_arrays([_signed(core), _signed(whole), _whole(far), batch.column("id").take(take), batch.column("th").take(take), _whole(middle - far - bounds[of]), _whole(far - near + 1)], names)
+
+        return run
+
+    def bytes_of(batches):
+        for batch, block in blocks(batches, "text", WINDOW_BLOCK):
+            _, bounds = units(block, kind)
+            of, start, n, lead, key, sk, copied = _lists(batch, "start", "n", "lead", "key", "sk", "copied")
+            data, begin = block.data.tobytes(), start + bounds[of]
+            spans = [data[a : a + c + width - 1] for a, c in zip(begin.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sk), pa.array(lead), pa.array(copied), pa.array(spans, pa.binary())], ["key", "sk", "lead", "copied", "span"])
+
+    def with_text(items: DataFrame, *columns: str) -> DataFrame:
+        """docs that have such items, with the list of these."""
+        some = items.groupBy("id", "th").agg(F.collect_set(F.struct(*columns)).alias("paths"))
+        return docs.join(some, docs["id"].eqNullSafe(some["id"]) & (docs["th"] == some["th"])).select(docs["id"], docs["th"], "text", "paths")
+
+    def again(rows: DataFrame) -> DataFrame:
+        """Buckets with several rows; plain: these are all equal."""
+        seen = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("sk").alias("a"), F.max("sk").alias("b"))
+        return seen.filter("c > 1").select("key", (F.col("a") == F.col("b")).alias("plain"))
+
+    def mark(items: DataFrame, start="start") -> DataFrame:
+        return items.select("id", "th", F.struct(F.expr(f"{start} as start"), "n").alias("p"))
+
+    buckets = table(spark, again(docs.select("text").mapInArrow(minimizers, "key long, sk long")), "minimizers")
+    items = table(spark, docs.mapInArrow(places, item).join(regrouped(buckets, "key"), "key"), "paths")
+    drop_table(spark, buckets)
+    tables, found = [items], mark(items.filter("plain"))
+    for step in steps[1:]:
+        wide = items.filter("not plain")
+        if solve is not None:
+            groups = wide.groupBy("key", "sk").agg((F.count("*") > 1).alias("copied"), F.min(F.struct("id", "th", "start", "n", "lead")).alias("r"))
+            groups = table(spark, groups.select("key", "sk", "copied", "r.*"), "groups")
+            sizes = table(spark, groups.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n") + width).alias("size")), "sizes")
+            tables += [groups, sizes]
+            few = sizes.filter(F.col("m") <= most)
+            load = few.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first().size
+            parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-load // TASK_BYTES))
+            spans = with_text(groups.join(regrouped(few.select("key"), "key"), "key"), "start", "n", "lead", "key", "sk", "copied")
+            spans = spans.mapInArrow(bytes_of, "key long, sk long, lead int, copied boolean, span binary")
+            runs = spans.repartition(parts, "key").sortWithinPartitions("key", "sk").mapInArrow(solve, "key long, sk long, from int, n int")
+            runs = table(spark, runs, "runs")
+            tables.append(runs)
+            hits = wide.drop("n").join(runs, ["key", "sk"])
+            found = found.unionByName(mark(hits, "start + from"))
+            many = sizes.filter(F.col("m") > most).select("key")
+            if many.isEmpty():
+                break
+            wide = wide.join(regrouped(many, "key"), "key")
+        edges = table(spark, with_text(wide, "start", "n", "lead", "key").mapInArrow(pieces(step), item), "edges")
+        tables.append(edges)
+        if step == 1:
+            # One window each: equal if both hashes are.
+            twice = edges.groupBy("key", "sk").agg(F.count("*").alias("c")).filter("c > 1").select("key", "sk")
+            found = found.unionByName(mark(edges.join(regrouped(twice, "key"), ["key", "sk"])))
+        else:
+            items = edges.join(regrouped(again(edges), "key"), "key")
+            found = found.unionByName(mark(items.filter("plain")))
+    marks = found.groupBy("id", "th").agg(F.collect_set("p").alias("spans"))
+    return docs, marks, tables
 
 
 def removed(docs: DataFrame, marks: DataFrame, kind: str, width: int) -> DataFrame:

@@ -27,6 +27,7 @@ MINIMIZER = 16
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = MINIMIZER) -> DataFrame:
     """id, n_words, n_removed, spans (removed word ranges: start, end), kept (string: kept words joined by a space)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs, marks, _ = repeated(rows, "words", width, min(k, width))
+    k = min(k, width)
+    docs, marks, _ = repeated(rows, "words", width, k, sorted({width - k + 1, 1}, reverse=True))
     out = removed(docs, marks, "words", width)
     return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "spans", F.col("kept").cast("string").alias("kept"))

@@ -1,7 +1,8 @@
 """Byte-substring deduplication with a blockwise suffix array built by difference covers.
 
 Only suffixes that can matter are sorted: those whose ``width`` bytes hold a minimizer seen
-with different surroundings (see ``paths``). The suffix buckets are these minimizers; a task gets
+with different surroundings (see ``paths``); of equal surroundings one copy is sorted, with a mark that it has
+others. The suffix buckets are these minimizers and the distance to them; a task gets
 its buckets in order, lays the bytes of some of them into one block of bounded size and sorts
 one bucket after another. In a block, positions whose residue modulo ``PERIOD`` lies in a
 difference cover are ranked first, by sorting their first PERIOD bytes and doubling. A
@@ -10,9 +11,9 @@ a tie costs one look-up however long it is, and memory is bounded by the block.
 out with their minimizers at multiples of PERIOD, so suffixes that can be equal have one residue and
 one distance to the cover.
 
-A minimizer with more than ``SMALL`` paths would make one bucket too large for a task (a
-passage shared by a third of all texts): there each window is a bucket of its own, told apart
-by a hash of its bytes and counted with pre-aggregation. Both ways are exact on any input.
+A minimizer with more than ``MOST`` different paths would make a bucket too large for a block (the edge of a
+passage shared by a third of all texts). It is split by a deeper prefix, the bytes that neighbouring windows share, and its
+parts are sorted in the same way; in the last split a part holds one string.
 
 Rules: null text is empty; null ids are kept; repeated rows count as separate texts; matches
 never cross texts; every byte covered by a repeated string is removed, the first place included; what is kept is
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .paths import removed, repeated
+from .paths import removed, repeated, split_at
 
 WIDTH = 400
 MINIMIZER = 64
 PERIOD = 64
-SMALL = 200
+#: Most different paths of a bucket that is sorted; it fits a block. Fuller ones are split by a deeper prefix.
+MOST = 1024
 BLOCK = 1 << 20
 
 
@@ -122,67 +124,51 @@ class Block:
 
 
 def sort_buckets(width: int):
-    """mapInArrow function over rows sorted by mhash: the repeated windows of each path as runs."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        ids: dict[tuple, int] = {}
-        at = np.array([ids.setdefault((m, sk), len(ids)) for m, sk, *_ in rows], dtype=np.int64)
-        first = np.unique(at, return_index=True)[1]
-        copies = np.bincount(at) > 1
-        pieces, leads = [rows[i][6] for i in first], [rows[i][2] for i in first]
+    """mapInArrow function over different paths (key, sk, lead, copied, span), sorted by key: their repeated windows as runs."""
+
+    def solve(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        pieces, leads = [r[4] for r in rows], np.array([r[2] for r in rows], dtype=np.int64)
+        copied = np.array([r[3] for r in rows], dtype=bool)
         block = Block(pieces, leads, width)
         counts = np.array([len(p) - width + 1 for p in pieces], dtype=np.int64)
         names: dict[int, int] = {}
-        group = np.array([names.setdefault(rows[i][0], len(names)) for i in first], dtype=np.int64)
+        group = np.array([names.setdefault(r[0], len(names)) for r in rows], dtype=np.int64)
         owner = np.repeat(np.arange(len(pieces)), counts)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        bucket = group[owner] * (4 * width) + offset - np.asarray(leads)[owner] + width
-        hit = block.repeated(bucket, block.start[owner] + offset) | copies[owner]
+        bucket = group[owner] * (4 * width) + offset - leads[owner] + width
+        hit = block.repeated(bucket, block.start[owner] + offset) | copied[owner]
         edge = np.zeros(len(hit) + 1, dtype=bool)
         edge[np.concatenate([[0], np.cumsum(counts)])] = True
         begin = np.flatnonzero(hit & (~np.concatenate([[False], hit[:-1]]) | edge[:-1]))
         stop = np.flatnonzero(hit & (~np.concatenate([hit[1:], [False]]) | edge[1:])) + 1
-        bounds = np.searchsorted(owner[begin], np.arange(len(pieces) + 1))
-        out: list[list] = [[], [], [], []]
-        for row, piece in zip(rows, at.tolist()):
-            for j in range(bounds[piece], bounds[piece + 1]):
-                for column, value in zip(out, (row[3], row[4], row[5] + int(offset[begin[j]]), int(stop[j] - begin[j]))):
-                    column.append(value)
-        return out
+        return owner[begin], offset[begin], stop - begin
 
     def run(batches):
-        id_type = None
-
         def emit(rows):
-            a, b, c, d = solve(rows)
-            return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.int32())], ["id", "th", "start", "n"])
+            owner, offset, n = solve(rows)
+            keys, sks = (np.array([r[i] for r in rows], dtype=np.int64)[owner] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sks), pa.array(offset.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "sk", "from", "n"])
 
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            id_type = batch.schema.field("id").type
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                # A new block begins with a new bucket only.
                 if size > BLOCK and row[0] != last:
                     yield emit(held)
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[6]), row[0]
+                size, last = size + len(row[4]), row[0]
         if held:
             yield emit(held)
 
     return run
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = MINIMIZER, small: int = SMALL) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, k: int = MINIMIZER, most: int = MOST) -> DataFrame:
     """id, n_bytes, n_removed, spans (removed byte ranges: start, end), kept (binary)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-
-    def branch(spans: DataFrame) -> DataFrame:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ordered = spans.repartition(n, "mhash").sortWithinPartitions("mhash")
-        return ordered.mapInArrow(sort_buckets(width), f"id {id_type}, th int, start int, n int")
-
-    docs, marks, _ = repeated(rows, "bytes", width, min(k, width), branch, small)
+    k = min(k, width)
+    docs, marks, _ = repeated(rows, "bytes", width, k, split_at(width, k), sort_buckets(width), most)
     out = removed(docs, marks, "bytes", width)
     return out.select(F.col("id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "spans", "kept")

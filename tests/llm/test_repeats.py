@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from heliodor.llm import substrings, suffixes
+from heliodor.llm.paths import cut
 from heliodor.llm.suffixes import cover
 
 
@@ -49,10 +50,10 @@ def test_words(spark, seed, width, k):
     assert [got[i] for i in range(len(rows))] == want
 
 
-@pytest.mark.parametrize("seed,width,k,small", [(1, 40, 9, 200), (2, 100, 16, 2), (3, 70, 64, 1000), (4, 70, 20, 0)])
-def test_bytes(spark, seed, width, k, small):
+@pytest.mark.parametrize("seed,width,k,most", [(1, 40, 9, 200), (2, 100, 16, 2), (3, 70, 64, 1000), (4, 70, 20, 1), (5, 60, 11, 4), (6, 20, 20, 1)])
+def test_bytes(spark, seed, width, k, most):
     rows = texts(seed, "the of and a big x ye zu".split(), 40)
-    found = suffixes.dedup(frame(spark, rows), width=width, k=k, small=small).collect()
+    found = suffixes.dedup(frame(spark, rows), width=width, k=k, most=most).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in found}
     want = brute([(t or "").encode() for t in rows], width, bytes)
     assert [got[i] for i in range(len(rows))] == want
@@ -73,3 +74,29 @@ def test_cover():
     for period in (16, 32, 64):
         c = cover(period)
         assert {(a - b) % period for a in c for b in c} == set(range(period))
+
+
+def test_production_width(spark):
+    """Width 400 and minimizers of 64 bytes: passages whose edges are buckets of many different paths."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghij \u00e9") for _ in range(n))
+    shared = [noise(n) for n in (390, 420, 700)]
+    rows = [noise(rng.randint(0, 600)) + rng.choice(shared) + noise(rng.randint(0, 600)) for _ in range(40)]
+    rows += [rows[3], shared[2], None, ""]
+    want = brute([(t or "").encode() for t in rows], 400, bytes)
+    for most in (1024, 3):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.dedup(frame(spark, rows), most=most).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
+def test_long_texts_are_cut_in_segments():
+    rng = np.random.RandomState(3)
+    values = rng.randint(0, 3, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bounds = np.array([0, 0, 40, 4000, 5000])
+    of, start, n, *_ = cut(values, bounds, 30, 7, place_bits=7)
+    windows = [(t, a + i) for t, a, m in zip(of.tolist(), start.tolist(), n.tolist()) for i in range(m)]
+    assert windows == [(t, i) for t in range(4) for i in range(max(0, bounds[t + 1] - bounds[t] - 29))]
+    whole = cut(values, bounds, 30, 7)
+    place = lambda c: {(t, a + i): (m, a + p) for t, a, c, m, p in zip(c[0], c[1], c[2], c[3], c[5]) for i in range(c)}
+    # The first of equal minimizers is taken in both.
+    assert place(cut(values, bounds, 30, 7, place_bits=7)) == place(whole)
