@@ -8,16 +8,18 @@ of it is a rule already. Rules are matched by an inverted index: a rule is poste
 rarest token only and the rest of it is checked on the url's token set. A url without a matching rule is allowed.
 
 Rules for input: a null url, or one without ://, has an empty host and path and is allowed; null ids are kept; repeated rows give
-repeated rows; null labels are ignored; without labels nothing is mined; other columns are ignored.
+repeated rows; a url of any length is one basket (its combinations are never listed: see ``mine``); null labels are ignored; without labels nothing is mined; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, table
 
 # Verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -54,29 +56,59 @@ def tokens(url: Column) -> Column:
 def _match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url key and rule for every rule whose tokens all stand in the url: urls(key, tokens), rules(rule, anchor, items)."""
     posted = urls.select("key", "tokens", F.explode("tokens").alias("anchor"))
-    return posted.join(rules, "anchor").filter(F.size(F.array_except("items", "tokens")) == 0).select("key", "rule")
+    return posted.join(rules.select("rule", "anchor", "items"), "anchor").filter(F.size(F.array_except("items", "tokens")) == 0).select("key", "rule")
+
 
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule, anchor, items, n, confidence) from labelled(key, tokens, bad), one row a labelled url, and names(token, item).
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule, anchor, items, n, confidence from labelled(key, tokens, bad), one row a labelled url."""
+    An item stands for all tokens that the same labelled urls hold, so a long token set that many urls share is one item
+    and not an exponential number of combinations; a rule of items is a rule for every choice of their tokens. Tokens that are
+    rules alone, and tokens that too few bad urls hold for any rule, never reach FP-growth.
+    """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule long, anchor string, items array<string>, n long, confidence double")
-    bad = labelled.filter("bad and size(tokens) > 0").select(F.col("tokens").alias("items"))
-    if bad.isEmpty():
+    empty = spark.createDataFrame([], "rule long, anchor string, items array<string>, n long, confidence double"), spark.createDataFrame([], "token string, item string")
+    n_bad = labelled.filter("bad and size(tokens) > 0").count()
+    if not n_bad:
         return empty
-    sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(bad).freqItemsets.select(F.sort_array("items").alias("items"))
-    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
-    # Post each set under its rarest token.
-    single = sets.withColumn("rule", F.xxhash64("items")).select("rule", "items", F.explode("items").alias("token")).join(counts, "token")
-    sets = single.groupBy("rule", "items").agg(F.min(F.struct("c", "token")).alias("least")).select("rule", "items", F.col("least.token").alias("anchor"))
-    hits = _match(labelled.select(F.struct("key", "bad").alias("key"), "tokens"), sets.select("rule", "anchor", "items"))
-    strong = hits.groupBy("rule").agg(F.count("*").alias("n"), F.avg(F.col("key.bad").cast("double")).alias("confidence"))
-    strong = strong.filter((F.col("n") >= min_rows) & (F.col("confidence") >= min_confidence))
-    rules = sets.join(strong, "rule").select("rule", "anchor", "items", "n", "confidence")
+    # A rule holds min_rows labelled urls, so this many bad ones.
+    least = max(ceil(min_support * n_bad - 1e-9), ceil(min_rows * min_confidence - 1e-9), 1)
+    h = F.xxhash64("key", "tokens", "bad")
+    counts = labelled.select(h.alias("h"), F.col("bad").cast("int").alias("bad"), F.explode("tokens").alias("token"))
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "h").cast("decimal(38,0)")).alias(f"s{seed}")
+    counts = counts.groupBy("token").agg(F.count("*").alias("c"), F.sum("bad").alias("b"), wide(1), wide(2)).filter(F.col("b") >= least)
+    names = counts.groupBy("c", "b", "s1", "s2").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    # As many rows as tokens with enough bad urls: n_bad / least tokens a basket place at most.
+    names = table(spark, names.select("item", "c", "b", F.explode("tokens").alias("token")), "items")
+    alone = (F.col("c") >= min_rows) & (F.col("b") >= min_confidence * F.col("c"))
+    single = names.filter(alone).select("item", "c", (F.col("b") / F.col("c")).alias("confidence")).distinct()
+    single = single.select(F.xxhash64(F.array("item")).alias("rule"), F.col("item").alias("anchor"), F.array("item").alias("items"), F.col("c").alias("n"), "confidence")
+    open_names = names.filter(~alone)
+    rows = named(labelled.select(F.struct("key", "bad", h.alias("h")).alias("key"), "tokens"), open_names)
+    rows = table(spark, rows, "baskets")
+    baskets = rows.filter("key.bad and size(tokens) > 1").select(F.col("tokens").alias("items"))
+    size = baskets.count()
+    found = single
+    if size >= least:
+        sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / size).fit(baskets).freqItemsets
+        sets = sets.filter("size(items) > 1").select(F.sort_array("items").alias("items"), F.col("freq").alias("b"))
+        # Post each set under its rarest item.
+        each = sets.withColumn("rule", F.xxhash64("items")).select("rule", "items", "b", F.explode("items").alias("item")).join(open_names.select("item", "c").distinct(), "item")
+        sets = each.groupBy("rule", "items", "b").agg(F.min(F.struct("c", "item")).alias("least")).select("rule", "items", "b", F.col("least.item").alias("anchor"))
+        held = _match(rows, sets).groupBy("rule").agg(F.count("*").alias("n"))
+        strong = sets.join(held, "rule").withColumn("confidence", F.col("b") / F.col("n"))
+        strong = strong.filter((F.col("n") >= min_rows) & (F.col("confidence") >= min_confidence))
+        found = found.unionByName(strong.select("rule", "anchor", "items", "n", "confidence"))
+    rules = table(spark, found, "rules")
     # A rule that holds a shorter rule adds nothing.
-    rows = rules.select(F.col("rule").alias("key"), F.col("items").alias("tokens"))
-    wider = _match(rows, rules.select("rule", "anchor", "items")).filter("key <> rule").select(F.col("key").alias("rule")).distinct()
-    return rules.join(wider, "rule", "left_anti").select("rule", "anchor", "items", "n", "confidence")
+    wider = _match(rules.select(F.col("rule").alias("key"), F.col("items").alias("tokens")), rules).filter("key <> rule").select(F.col("key").alias("rule")).distinct()
+    return rules.join(wider, "rule", "left_anti").select("rule", "anchor", "items", "n", "confidence"), names.select("token", "item")
+
+
+def named(urls: DataFrame, names: DataFrame) -> DataFrame:
+    """urls(key, tokens) with items in place of tokens; tokens without an item go, and urls without any."""
+    each = urls.select("key", F.explode("tokens").alias("token")).join(names.select("token", "item"), "token")
+    return each.groupBy("key").agg(F.collect_set("item").alias("tokens"))
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", **limits) -> DataFrame:
@@ -88,11 +120,11 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: st
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     marks = labels.filter(F.col(label_id).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).select(F.col(label_id).alias("i"), bad.alias("bad"))
     labelled = pages.join(marks, F.col("id") == F.col("i")).select(F.col("id").alias("key"), tokens(F.col("url")).alias("tokens"), "bad")
-    rules = mine(labelled, **limits)
+    rules, names = mine(labelled, **limits)
     rule, verdict = fixed(F.col("host"), F.col("path"))
     rows = pages.select("id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("verdict", verdict)
     open_urls = rows.filter("rule is null and url is not null").select(F.col("url").alias("key")).distinct().withColumn("tokens", tokens(F.col("key")))
-    blocked = _match(open_urls, rules.select("rule", "anchor", "items")).groupBy("key").agg(F.min("rule").alias("mined_rule"))
+    blocked = _match(named(open_urls, names), rules).groupBy("key").agg(F.min("rule").alias("mined_rule"))
     out = rows.join(blocked, (F.col("url") == F.col("key")) & F.col("rule").isNull(), "left")
     method = F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "mined_rule")

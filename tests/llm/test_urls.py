@@ -73,3 +73,19 @@ def test_empty(spark):
     assert urls.judge(pages, marks).count() == 0
     one = spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string")
     assert [r.verdict for r in urls.judge(one, marks).collect()] == ["allow"]
+
+
+def test_long_and_repeated_urls(spark):
+    """Long urls and long token sets that many bad urls share are mined in bounded work; the rules are those of brute force."""
+    shared = "/".join(f"w{i}" for i in range(60))
+    pages = [(i, f"http://h{i % 7}.io/{shared}/" + ("x" if i % 3 else "y")) for i in range(30)]
+    pages += [(100, "http://long.io/" + "/".join(f"z{i}" for i in range(1000)))] * 2
+    pages += [(200 + i, f"http://ok.io/{'/'.join(f'g{j}' for j in range(i % 5))}/a{i}") for i in range(40)]
+    pages += [(300, "http://q.io/w59/"), (301, f"http://q.io/{shared}/new")]
+    labels = [(i, 1 if i >= 200 else 0, 0) for i in sorted({i for i, _ in pages if i < 300})]
+    df, marks = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judge(df, marks).collect()}
+    rules = [x for x in sorted({x for _, u in pages for x in brute_tokens(u)}) if sum(x in brute_tokens(u) for i, u in pages if i < 200) >= 20 and not any(x in brute_tokens(u) for i, u in pages if 200 <= i < 300)]
+    assert len(rules) > 60
+    assert got == {i: "block" if set(rules) & brute_tokens(u) else "allow" for i, u in pages}
+    assert got[300] == got[301] == "block"
