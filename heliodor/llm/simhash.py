@@ -34,6 +34,10 @@ RADIUS, SPARE = 3, 2
 #: Radius of near copies (5-word Jaccard similarity of 0.8 or more): at sf0.1 their fingerprints are up to 14 bits apart.
 NEAR, PROBED = 14, 6
 HEAVIEST = 16
+#: Most texts whose votes are summed at once: VOTE_TEXTS x 4096 numbers.
+VOTE_TEXTS = 1024
+#: Most texts and characters that a task holds.
+HOLD_TEXTS, HOLD_CHARS = 4096, 1 << 18
 RANGES = 4
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 
@@ -46,17 +50,25 @@ def fingerprints(block: Block) -> np.ndarray:
     if not len(full):
         return out
     weight = np.minimum(end - start, HEAVIEST)
+    for a in range(0, len(full), VOTE_TEXTS):
+        some = full[a : a + VOTE_TEXTS]
+        low, high = bounds[some[0]], bounds[some[-1] + 1]
+        out[some] = _votes(words[low:high], weight[low:high], np.append(bounds[some], high) - low)
+    return out
+
+
+def _votes(words: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts of at least one word each."""
+    n = len(bounds) - 1
     both = np.stack([words, mix(words ^ np.uint64(0xA0761D6478BD642F))], axis=1).astype(">u8")
     # Votes are summed for every value of every hash byte, then turned into votes on bits.
     planes = both.view(np.uint8).reshape(len(words), 16)
-    row = np.repeat(np.arange(len(full)), np.diff(bounds)[full])
+    row = np.repeat(np.arange(n), np.diff(bounds))
     cell = (row[:, None] * 16 + np.arange(16)) * 256 + planes
-    sums = np.bincount(cell.reshape(-1), np.repeat(weight, 16), minlength=len(full) * 4096).reshape(len(full) * 16, 256)
-    votes = (sums @ _BYTE_BITS).reshape(len(full), BITS)
-    whole = np.add.reduceat(weight, bounds[full])
-    packed = np.packbits(2 * votes > whole[:, None], axis=1)
-    out[full] = packed.view(">u8").astype(np.uint64)
-    return out
+    sums = np.bincount(cell.reshape(-1), np.repeat(weight, 16), minlength=n * 4096).reshape(n * 16, 256)
+    votes = (sums @ _BYTE_BITS).reshape(n, BITS)
+    whole = np.add.reduceat(weight, bounds[:-1])
+    return np.packbits(2 * votes > whole[:, None], axis=1).view(">u8").astype(np.uint64)
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +222,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             edited.append(text[: len(text) - half] + after[:half])
             following.append(after)
             size += len(text)
-            if size > 1 << 18:
+            if size > HOLD_CHARS or len(ids) == HOLD_TEXTS:
                 yield emit(ids, texts, edited, following)
                 ids, texts, edited, following, size = [], [], [], [], 0
         if ids:
