@@ -29,16 +29,15 @@ def found(texts):
     held = [set(words(t)) & vocab for t in texts]
     idf = {v: math.log((1 + len(texts)) / (1 + sum(v in h for h in held))) + 1e-3 for v in vocab}
     out = []
-    for text, have in zip(texts, held):
+    for text in texts:
         w = words(text)
-        rare = {x for _, x in sorted(((idf[x], x) for x in have), reverse=True)[: L.RAREST]}
         labels, best = set(), 0.0
         for label, notice, phrase in L.TEMPLATES:
             n, p = notice.split(), phrase.split()
             at = next(i for i in range(len(n)) if n[i : i + len(p)] == p)
             whole = sum(idf[x] for x in n)
             for shift in range(-len(n), len(w)):
-                same = [i for i in range(len(n)) if 0 <= shift + i < len(w) and w[shift + i] == n[i] and n[i] in rare]
+                same = [i for i in range(len(n)) if 0 <= shift + i < len(w) and w[shift + i] == n[i]]
                 met = sum(idf[n[i]] for i in same)
                 if set(range(at, at + len(p))) <= set(same) and met >= L.LEAST * whole:
                     labels.add(label)
