@@ -128,42 +128,48 @@ def repeated(df: DataFrame, kind: str, width: int, k: int, steps: list[int], sol
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([_signed(m), _signed(sk), _whole(lead), batch.column("id").take(take), batch.column("th").take(take), _whole(start), _whole(n)], names)
 
-    def pieces(step):
-        """The paths of each row, cut at every ``step`` of r, bucketed by bucket and core."""
-
+    def pieces(batch, block, step):
+        """The deep paths of each row, cut at every ``step`` of r, bucketed by bucket and core."""
+        values, bounds = units(block, kind)
+        of, start, n, lead, key, deep = _lists(batch, "start", "n", "lead", "key", "deep")
+        of, start, n, lead, key = (x[deep] for x in (of, start, n, lead, key))
+        low, high = (lead - n + 1) // step, lead // step
+        count = (high - low + 1).astype(np.int64)
+        part, at = ranges(low.astype(np.int64), count), np.repeat(np.arange(len(of)), count)
+        of, start, n, lead = of[at], start[at].astype(np.int64), n[at].astype(np.int64), lead[at].astype(np.int64)
+        lo, hi = part * step, np.minimum((part + 1) * step, width - k + 1) - 1
+        far, near = np.minimum(hi, lead), np.maximum(lo, lead - n + 1)
+        middle = bounds[of] + start + lead
+        prefix = Prefix(values)
+        with np.errstate(over="ignore"):
+            bucket = mix(key[at].view(np.uint64) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        core = mix(bucket ^ prefix.spans(middle - lo, middle + width - hi))
+        whole = prefix.spans(middle - far, middle - near + width)
+        take, empty = pa.array(of), pa.nulls(len(of))
+        return [_signed(core), _signed(whole), _whole(far), batch.column("id").take(take), batch.column("th").take(take), _whole(middle - far - bounds[of]), _whole(far - near + 1), empty.cast(pa.bool_()), empty.cast(pa.binary())]
+
+    def bytes_of(batch, block):
+        """The bytes of the paths of each row that are to be sorted."""
+        of, start, n, lead, key, sk, copied, deep = _lists(batch, "start", "n", "lead", "key", "sk", "copied", "deep")
+        mine = ~deep
+        data, begin = block.data.tobytes(), (start + block.offsets[of])[mine].tolist()
+        spans = [data[a : a + c + width - 1] for a, c in zip(begin, n[mine].tolist())]
+        take = pa.array(of[mine])
+        return [pa.array(key[mine]), pa.array(sk[mine]), pa.array(lead[mine]), batch.column("id").take(take), batch.column("th").take(take), pa.array(start[mine]), pa.array(n[mine]), pa.array(copied[mine]), pa.array(spans, pa.binary())]
+
+    def unfold(step):
         def run(batches):
             for batch, block in blocks(batches, "text", WINDOW_BLOCK):
-                values, bounds = units(block, kind)
-                of, start, n, lead, key = _lists(batch, "start", "n", "lead", "key")
-                low, high = (lead - n + 1) // step, lead // step
-                count = (high - low + 1).astype(np.int64)
-                part, at = ranges(low.astype(np.int64), count), np.repeat(np.arange(len(of)), count)
-                of, start, n, lead = of[at], start[at].astype(np.int64), n[at].astype(np.int64), lead[at].astype(np.int64)
-                lo, hi = part * step, np.minimum((part + 1) * step, width - k + 1) - 1
-                far, near = np.minimum(hi, lead), np.maximum(lo, lead - n + 1)
-                middle = bounds[of] + start + lead
-                prefix = Prefix(values)
-                with np.errstate(over="ignore"):
-                    bucket = mix(key[at].view(np.uint64) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                core = mix(bucket ^ prefix.spans(middle - lo, middle + width - hi))
-                whole = prefix.spans(middle - far, middle - near + width)
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([_signed(core), _signed(whole), _whole(far), batch.column("id").take(take), batch.column("th").take(take), _whole(middle - far - bounds[of]), _whole(far - near + 1)], names)
+                yield pa.RecordBatch.from_arrays(pieces(batch, block, step), [*names, "copied", "span"])
+                if solve is not None:
+                    yield pa.RecordBatch.from_arrays(bytes_of(batch, block), [*names, "copied", "span"])
 
         return run
 
-    def bytes_of(batches):
-        for batch, block in blocks(batches, "text", WINDOW_BLOCK):
-            _, bounds = units(block, kind)
-            of, start, n, lead, key, sk, copied = _lists(batch, "start", "n", "lead", "key", "sk", "copied")
-            data, begin = block.data.tobytes(), start + bounds[of]
-            spans = [data[a : a + c + width - 1] for a, c in zip(begin.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sk), pa.array(lead), pa.array(copied), pa.array(spans, pa.binary())], ["key", "sk", "lead", "copied", "span"])
-
-    def with_text(items: DataFrame, *columns: str) -> DataFrame:
-        """docs that have such items, with the list of these."""
-        some = items.groupBy("id", "th").agg(F.collect_set(F.struct(*columns)).alias("paths"))
-        return docs.join(some, docs["id"].eqNullSafe(some["id"]) & (docs["th"] == some["th"])).select(docs["id"], docs["th"], "text", "paths")
+    def with_text(entries: DataFrame) -> DataFrame:
+        """docs that have such entries, with the list of these. The same plan at every size: texts are never joined to a broadcast table."""
+        some = entries.groupBy("id", "th").agg(F.collect_set(F.struct("start", "n", "lead", "key", "sk", "copied", "deep")).alias("paths"))
+        return docs.join(some.hint("merge"), docs["id"].eqNullSafe(some["id"]) & (docs["th"] == some["th"])).select(docs["id"], docs["th"], "text", "paths")
 
     def again(rows: DataFrame) -> DataFrame:
         """Buckets with several rows; plain: these are all equal."""
@@ -174,38 +180,41 @@ def repeated(df: DataFrame, kind: str, width: int, k: int, steps: list[int], sol
         return items.select("id", "th", F.struct(F.expr(f"{start} as start"), "n").alias("p"))
 
     buckets = table(spark, again(docs.select("text").mapInArrow(minimizers, "key long, sk long")), "minimizers")
-    items = table(spark, docs.mapInArrow(places, item).join(regrouped(buckets, "key"), "key"), "paths")
+    items = table(spark, docs.mapInArrow(places, item).join(regrouped(buckets, "key").hint("merge"), "key"), "paths")
     drop_table(spark, buckets)
     tables, found = [items], mark(items.filter("plain"))
     for step in steps[1:]:
         wide = items.filter("not plain")
+        entries = None
         if solve is not None:
             groups = wide.groupBy("key", "sk").agg((F.count("*") > 1).alias("copied"), F.min(F.struct("id", "th", "start", "n", "lead")).alias("r"))
             groups = table(spark, groups.select("key", "sk", "copied", "r.*"), "groups")
             sizes = table(spark, groups.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n") + width).alias("size")), "sizes")
             tables += [groups, sizes]
-            few = sizes.filter(F.col("m") <= most)
+            few, many = sizes.filter(F.col("m") <= most), sizes.filter(F.col("m") > most).select("key")
             load = few.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first().size
             parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-load // TASK_BYTES))
-            spans = with_text(groups.join(regrouped(few.select("key"), "key"), "key"), "start", "n", "lead", "key", "sk", "copied")
-            spans = spans.mapInArrow(bytes_of, "key long, sk long, lead int, copied boolean, span binary")
+            entries = groups.join(regrouped(few.select("key"), "key").hint("merge"), "key").withColumn("deep", F.lit(False))
+            wide = wide.join(regrouped(many, "key"), "key")
+        deep = wide.select("key", "sk", F.lit(None).cast("boolean").alias("copied"), "id", "th", "start", "n", "lead", F.lit(True).alias("deep"))
+        entries = deep if entries is None else entries.unionByName(deep)
+        rows = table(spark, with_text(entries).mapInArrow(unfold(step), f"{item}, copied boolean, span binary"), "pieces")
+        edges = rows.filter("span is null")
+        tables.append(rows)
+        if solve is not None:
+            spans = rows.filter("span is not null").select("key", "sk", "lead", "copied", "span")
             runs = spans.repartition(parts, "key").sortWithinPartitions("key", "sk").mapInArrow(solve, "key long, sk long, from int, n int")
             runs = table(spark, runs, "runs")
             tables.append(runs)
-            hits = wide.drop("n").join(runs, ["key", "sk"])
-            found = found.unionByName(mark(hits, "start + from"))
-            many = sizes.filter(F.col("m") > most).select("key")
+            found = found.unionByName(mark(items.drop("n").join(regrouped(runs, "key").hint("merge"), ["key", "sk"]), "start + from"))
             if many.isEmpty():
                 break
-            wide = wide.join(regrouped(many, "key"), "key")
-        edges = table(spark, with_text(wide, "start", "n", "lead", "key").mapInArrow(pieces(step), item), "edges")
-        tables.append(edges)
         if step == 1:
             # One window each: equal if both hashes are.
             twice = edges.groupBy("key", "sk").agg(F.count("*").alias("c")).filter("c > 1").select("key", "sk")
-            found = found.unionByName(mark(edges.join(regrouped(twice, "key"), ["key", "sk"])))
+            found = found.unionByName(mark(edges.join(regrouped(twice, "key").hint("merge"), ["key", "sk"])))
         else:
-            items = edges.join(regrouped(again(edges), "key"), "key")
+            items = regrouped(edges.join(regrouped(again(edges), "key").hint("merge"), "key"), "key")
             found = found.unionByName(mark(items.filter("plain")))
     marks = found.groupBy("id", "th").agg(F.collect_set("p").alias("spans"))
     return docs, marks, tables
@@ -257,5 +266,5 @@ def removed(docs: DataFrame, marks: DataFrame, kind: str, width: int) -> DataFra
                 kept = [joined[a:b] for a, b in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total), pa.array(gone), runs, pa.array(kept, pa.binary())], ["id", "n_units", "n_removed", "spans", "kept"])
 
-    rows = docs.join(marks, docs["id"].eqNullSafe(marks["id"]) & (docs["th"] == marks["th"]), "left").select(docs["id"], "text", "spans")
+    rows = docs.join(marks.hint("merge"), docs["id"].eqNullSafe(marks["id"]) & (docs["th"] == marks["th"]), "left").select(docs["id"], "text", "spans")
     return rows.mapInArrow(apply, f"id {id_type}, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
