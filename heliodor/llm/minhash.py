@@ -5,11 +5,13 @@ first shuffles the codes once, the second is shifted circularly by 0, 1, 2, ...
 coordinates. They are banded; documents that share a band are candidates; candidates are
 confirmed on their full shingle sets.
 
-Documents with equal sets form one class, of which one member goes on. Classes that share
-bands are joined into candidate components by star edges to each band's smallest id, so no
-bucket is expanded into pairs. Every pair of a candidate component is then decided on full
-sets, inside tasks: a component is cut into blocks of bounded size and each pair of blocks is
-one unit of work, so a large component is spread over many tasks; a unit gives back a
+Documents with equal sets form one class, of which one member goes on. In each band bucket the
+smallest id is the centre, and star edges lead to it, so no bucket is expanded into pairs. The stars'
+components that fit a unit of work (BLOCK_DOCS documents) are decided there, every pair on full sets. A larger one is
+decided by its stars (a centre and all that share a bucket with it; every pair with a common bucket lies in one): first
+slices of a star with the centre in each, at a cost linear in the star; then, only in stars whose members are still in
+several components, pairs of blocks that are not of one component. So a large group of copies costs linear work, and a
+chain of documents of middling similarity costs what its stars hold, not the square of the whole chain. A unit gives back a
 spanning forest of its links, not the links. A link can be missed only if no band agrees:
 with 40 bands of 8 rows, at most 3 in a million at a similarity of 0.85; with 56 bands
 of 7 rows, 2 in a million at 0.8.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Prefix, blocks, drop_table, mix, regrouped, table
@@ -206,8 +208,7 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = member.filter("bands is not null").select("rep", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).filter("p < q").select("band", "p")
     near = buckets.join(regrouped(shared, "band"), "band").filter("rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b"))
-    candidates = components(near, "candidates")
-    links_found = components(_confirmed(docs, candidates, id_type, least), "links")
+    links_found = components(_confirmed(docs, table(spark, near.distinct(), "near"), id_type, least), "linked")
     whole = member.select("id", "rep").distinct().join(links_found, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("label", "rep").alias("component"))
     # Rows with equal ids and different texts are one document: the smallest of what they reach.
     whole = whole.groupBy("id").agg(F.min("component").alias("component")).withColumnRenamed("id", "i")
@@ -216,24 +217,72 @@ def components_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _confirmed(docs: DataFrame, candidates: DataFrame, id_type: str, least: int) -> DataFrame:
-    """Spanning forests of the confirmed links of every unit: a, b."""
+def _decided(rows: DataFrame, id_type: str, least: int) -> DataFrame:
+    """Spanning forests (a, b) of the links inside each unit of rows(unit, id, text)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(n, "unit").sortWithinPartitions("unit")
+    return ordered.mapInArrow(_units(least), f"a {id_type}, b {id_type}")
+
+
+def _parts(m: str, size: str) -> Column:
+    """Blocks for so many documents and bytes."""
+    return F.greatest(F.ceil(F.col(m) / BLOCK_DOCS), F.ceil(F.col(size) / BLOCK_TEXT)).cast("int")
+
+
+def _confirmed(docs: DataFrame, near: DataFrame, id_type: str, least: int) -> DataFrame:
+    """Confirmed links (a, b) that connect all that is linked among the star edges near(a, b)."""
     spark = docs.sparkSession
+    candidates = components(near, "candidates")
     # The same plan at every size: texts are dealt by id, never joined to a broadcast table.
     rows = candidates.join(docs.hint("merge"), F.col("node") == F.col("id")).select("label", "id", "text")
-    rows = table(spark, rows.withColumn("h", F.xxhash64("id", "text")), "texts")
-    sizes = rows.groupBy("label").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
-    parts = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_TEXT)).cast("int")
-    rows = rows.join(sizes.filter("m > 1").select("label", parts.alias("parts")), "label")
-    # Block i meets every block j: one unit for each pair of blocks.
-    mine = F.pmod("h", F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("i", mine).select("label", "id", "text", "i", other.alias("j"), "parts")
-    unit = F.xxhash64("label", F.least("i", "j"), F.greatest("i", "j"))
-    rows = rows.filter("parts < 2 or i <> j or parts = 1").select(unit.alias("unit"), "id", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "unit").sortWithinPartitions("unit")
-    return ordered.mapInArrow(_units(least), f"a {id_type}, b {id_type}")
+    rows = table(spark, rows.withColumn("size", F.octet_length("text")), "texts")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).filter("m > 1")
+    sizes = table(spark, sizes.select("label", _parts("m", "bytes").alias("parts")), "sizes")
+    small = rows.join(regrouped(sizes.filter("parts = 1").select("label"), "label"), "label").select(F.xxhash64("label").alias("unit"), "id", "text")
+    found = table(spark, _decided(small, id_type, least), "links")
+    wide = sizes.filter("parts > 1").select("label")
+    if wide.isEmpty():
+        return found
+    # A component too large for a unit: its star groups, which hold every pair that shares a band.
+    texts = rows.join(regrouped(wide, "label"), "label").select("id", "text", "size", F.xxhash64("text").alias("h"))
+    stars = near.select(F.col("b").alias("p"), F.col("a").alias("id")).union(near.select("b", "b")).distinct()
+    members = table(spark, stars.join(regrouped(texts, "id").hint("merge"), "id").select("p", "id", "size", "h"), "stars")
+    # First each star's slices with its centre, which joins what belongs together at linear cost.
+    sizes = members.groupBy("p").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).select("p", _parts("m", "bytes").alias("parts"))
+    slices = members.join(regrouped(sizes, "p"), "p")
+    own = F.explode(F.when(F.col("p") == F.col("id"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod("h", "parts").cast("int"))))
+    slices = slices.select("p", "id", "h", own.alias("slice")).select(F.xxhash64("p", "slice").alias("unit"), "id", "h")
+    found = found.unionByName(table(spark, _decided(_texts(slices, texts), id_type, least), "links"))
+    # Then, where a star still holds several components, the pairs of blocks that are not of one component.
+    now = components(found, "linked")
+    placed = members.join(regrouped(now, "node").hint("merge"), F.col("id") == F.col("node"), "left").select("p", "id", "size", "h", F.coalesce("label", "id").alias("c"))
+    shares = placed.groupBy("p", "c").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).withColumn("parts", _parts("m", "bytes"))
+    # A component of a block or more has blocks of its own; smaller ones share.
+    shares = table(spark, shares.withColumn("solid", F.col("m") >= BLOCK_DOCS), "shares")
+    stars = shares.groupBy("p").agg(F.count("*").alias("comps"), F.sum(F.when(F.col("solid"), 0).otherwise(F.col("m"))).alias("m"), F.sum(F.when(F.col("solid"), 0).otherwise(F.col("bytes"))).alias("bytes"))
+    stars = stars.filter("comps > 1").select("p", _parts("m", "bytes").alias("shared"))
+    shares = shares.join(regrouped(stars, "p"), "p")
+    none = F.lit(None).cast(id_type)
+    blocks_of = shares.filter("solid").select("p", F.col("c").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n"))
+    blocks_of = blocks_of.union(stars.filter("shared > 0").select("p", none, F.explode(F.sequence(F.lit(0), F.col("shared") - 1))))
+    alone = blocks_of.groupBy("p").agg((F.count("*") == 1).alias("alone"))
+    blocks_of = table(spark, blocks_of.join(alone, "p"), "blocks")
+    block = F.when(F.col("solid"), F.pmod("h", "parts")).otherwise(F.pmod(F.xxhash64("c"), "shared")).cast("int")
+    placed = placed.join(regrouped(shares.select("p", "c", "solid", "parts", "shared"), "p"), ["p", "c"])
+    placed = placed.select("p", "id", "h", F.when(F.col("solid"), F.col("c")).alias("mine"), block.alias("b"))
+    pairs = placed.join(regrouped(blocks_of, "p"), "p").filter(F.coalesce(F.col("mine") != F.col("of"), F.lit(True)))
+    here, there = F.struct("mine", "b"), F.struct(F.col("of").alias("mine"), F.col("n").alias("b"))
+    same = F.col("mine").isNull() & F.col("of").isNull() & (F.col("b") == F.col("n"))
+    key = lambda x: F.xxhash64(x["mine"], x["b"])
+    unit = F.xxhash64("p", F.least(key(here), key(there)), F.greatest(key(here), key(there)))
+    pairs = pairs.filter(~same | F.col("alone")).select(unit.alias("unit"), "id", "h")
+    return found.unionByName(_decided(_texts(pairs, texts), id_type, least))
+
+
+def _texts(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """unit, id, text for units(unit, id, h)."""
+    u = units.select("unit", F.col("id").alias("i"), F.col("h").alias("g"))
+    return u.join(texts.hint("merge"), (F.col("i") == F.col("id")) & (F.col("g") == F.col("h"))).select("unit", "id", "text").distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

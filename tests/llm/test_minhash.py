@@ -75,3 +75,22 @@ def test_circulant_estimates_similarity():
     sets = [np.unique(np.concatenate([common, x])) for x in (a, b)]
     sig = minhash.signatures(np.concatenate(sets), np.array([0, len(sets[0])]), 320)
     assert abs((sig[:, 0] == sig[:, 1]).mean() - 0.8) < 0.08
+
+
+def test_chains_and_large_groups_by_stars(spark, monkeypatch):
+    """Components larger than a unit: chains of middling similarity, one large group of near copies, stragglers."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 6)
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(10_000)}"
+    common = [word() for _ in range(60)]
+    texts = [" ".join(common + [word() for _ in range(rng.choice([8, 12, 20, 60]))]) for _ in range(60)]
+    base = [word() for _ in range(120)]
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.components_of(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
