@@ -5,11 +5,11 @@ terms (IDF over all passages), one pass forms A'A times a random matrix, block b
 executors; from that product a randomised Nystrom decomposition gives the leading right singular
 vectors and values, by which passages are folded in. Benchmark items and sliding windows of all documents (several
 scales, one fitting each item) are projected and compared by cosine, where the text around holds enough of an
-item's terms for the subsequence; each such window (unless a least cosine is asked for) is checked by the longest common subsequence of words with the item and by its answer (the
+item's terms for the subsequence; each such window of the least cosine or more is checked by the longest common subsequence of words with the item and by its answer (the
 item's last sentence), which also finds paraphrases with words put in, left out or replaced.
 
-What the driver holds is terms x rank, whatever the input; the benchmark is read in blocks
-of BENCH_BLOCK items. Rules: null or wordless texts and items match nothing; rows with a null id are searched
+What the driver holds is terms x rank, whatever the input; the benchmark, a query
+set, is sent to the tasks in pieces of BENCH_BYTES and looked for in blocks of BENCH_BLOCK items. Rules: null or wordless texts and items match nothing; rows with a null id are searched
 and reported with a null id; repeated rows are reported each; empty tables give
 an empty result; other columns are ignored by ``search`` and carried by ``keep_clean``.
 """
@@ -22,20 +22,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Block, blocks, ranges
 
-TERM_BITS, RANK = 12, 64
+TERM_BITS, RANK = 12, 96
 PASSAGE, STEP = 32, 8
 SCALES = (16, 32, 64)
-#: Least cosine: none, so that only the exact checks decide.
-COSINE, LCS, ANSWER = -1.0, 0.7, 0.5
+#: Least cosine (of 5097 planted paraphrases that the exact checks accept, 1 lies below 0, 4 below 0.1 and 101 below 0.5), least shares of words and of the answer's words.
+COSINE, LCS, ANSWER = 0.0, 0.7, 0.5
 #: Words of a piece of text for which items that it and its neighbours cannot hold are ruled out.
 REGION = 128
-BENCH_BLOCK = 512
+#: Items looked for at once, and bytes of items sent with one pass over the documents.
+BENCH_BLOCK, BENCH_BYTES = 512, 32 << 20
+#: Prepared blocks of items that a task keeps (16 MB each); further ones are prepared anew.
+PREPARED = 8
 _TERMS = 1 << TERM_BITS
 _CHUNK = 64
 GROUP = 16
+MOST = max(SCALES) // STEP
 
 
 def _terms(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,86 +211,113 @@ def _able(items: Items, term: np.ndarray, bounds: np.ndarray, lcs: float) -> tup
     return np.bitwise_count(near) >= items.distinct - (1 - lcs) * np.array(items.sizes), first
 
 
-def _search(items: Items, weights, vectors, cosine: float, lcs: float, answer: float):
+def _search(parts, weights, vectors, item_type, cosine: float, lcs: float, answer: float):
+    """parts: a broadcast list of lists of (item, text)."""
+
     def run(batches):
         projector = np.append(vectors * weights[:, None], np.zeros((1, vectors.shape[1]), np.float32), axis=0)
-        most = max(SCALES) // STEP
+        prepared: dict[int, Items] = {}
         for batch, block in blocks(batches, "text", 1 << 19):
             words, term, bounds = _terms(block)
-            start, place, first = _pieces(bounds, STEP, most - 1)
-            best: dict[tuple[int, int], tuple] = {}
-            able_in, piece = _able(items, term, bounds, lcs) if len(start) and items.ids else (np.zeros((0, 0), bool), None)
-            if able_in.any():
-                half = np.zeros((int(first[-1]) + most, projector.shape[1]), dtype=np.float32)
-                half[place] = _sums(projector, term.astype(np.int64), start, STEP)
-                text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-                inner = np.minimum((np.arange(len(text_of)) - first[text_of]) * STEP // REGION, np.diff(piece)[text_of] - 1)
-                piece_of = piece[text_of] + inner
-                window, have = half, 1
-                for scale in SCALES:
-                    while have * STEP < scale:
-                        window = window[:-have] + window[have:]
-                        have *= 2
-                    if scale not in items.queries:
-                        continue
-                    matrix, names = items.queries[scale]
-                    norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), np.float32(1e-30))
-                    close = window @ matrix.T
-                    w, q = np.nonzero(able_in[:, names[:, 0]][piece_of])
-                    passed = close[w, q] >= (cosine - 1e-6) * norm[w]
-                    w, q = w[passed], q[passed]
-                    if not len(w):
-                        continue
-                    item_of, text = names[q, 0], text_of[w]
-                    size_of = np.array(items.sizes)[item_of]
-                    begin = bounds[text] + (w - first[text]) * STEP - names[q, 1]
-                    lows = np.minimum(np.maximum(bounds[text], begin - scale // 2), bounds[text + 1] - 1)
-                    highs = np.maximum(lows + 1, np.minimum(bounds[text + 1], begin + size_of + scale // 2 + STEP))
-                    # Necessary for the subsequence: few of the item's terms are missing.
-                    lengths = highs - lows
-                    inside = items.bits[np.repeat(item_of, lengths), term[ranges(lows, lengths)]]
-                    held = np.bitwise_count(np.bitwise_or.reduceat(inside, np.cumsum(lengths) - lengths))
-                    able = np.flatnonzero(held >= items.distinct[item_of] - (1 - lcs) * size_of)
-                    for c in able.tolist():
-                        item, n, at = int(item_of[c]), int(size_of[c]), int(text[c])
-                        region = words[lows[c] : highs[c]].tolist()
-                        share = common(region, items.masks[item], n) / n
-                        if share < lcs:
-                            continue
-                        masks, size = items.answers[item]
-                        told = common(region, masks, size) / size if size else 1.0
-                        if told < answer:
-                            continue
-                        found = (share, float(close[w[c], q[c]] / norm[w[c]]), told, int(lows[c] - bounds[at]))
-                        if found > best.get((at, item), (0.0,)):
-                            best[at, item] = found
-            keys = sorted(best)
-            values = [best[k] for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array([t for t, _ in keys], pa.int64())), pa.array([items.ids[i] for _, i in keys], pa.int64())]
-                + [pa.array([v[j] for v in values], pa.float64()) for j in (1, 0, 2)] + [pa.array([v[3] for v in values], pa.int64())],
-                ["id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"],
-            )
+            if not len(words):
+                continue
+            start, place, first = _pieces(bounds, STEP, MOST - 1)
+            half = np.zeros((int(first[-1]) + MOST, projector.shape[1]), dtype=np.float32)
+            half[place] = _sums(projector, term.astype(np.int64), start, STEP)
+            windows, window, have = {}, half, 1
+            for scale in SCALES:
+                while have * STEP < scale:
+                    window = window[:-have] + window[have:]
+                    have *= 2
+                windows[scale] = window, np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), np.float32(1e-30))
+            for i, rows in enumerate(parts.value):
+                items = prepared.get(i) or Items(rows, weights, vectors)
+                if len(prepared) < PREPARED:
+                    prepared[i] = items
+                best = _best(items, words, term, bounds, first, windows, cosine, lcs, answer)
+                keys = sorted(best)
+                values = [best[k] for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array([t for t, _ in keys], pa.int64())), pa.array([items.ids[i] for _, i in keys], item_type)]
+                    + [pa.array([v[j] for v in values], pa.float64()) for j in (1, 0, 2)] + [pa.array([v[3] for v in values], pa.int64())],
+                    ["id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"],
+                )
 
     return run
 
 
-def search(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
-    """One row for each document and benchmark item found in it: id, item_id, cosine, lcs_share, answer_share, first_word of the place."""
+def _best(items: Items, words, term, bounds, first, windows, cosine: float, lcs: float, answer: float) -> dict[tuple[int, int], tuple]:
+    """For each (text, item) found: subsequence share, cosine, answer share and first word of its best place."""
+    best: dict[tuple[int, int], tuple] = {}
+    if not items.ids:
+        return best
+    able_in, piece = _able(items, term, bounds, lcs)
+    if not able_in.any():
+        return best
+    text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+    inner = np.minimum((np.arange(len(text_of)) - first[text_of]) * STEP // REGION, np.diff(piece)[text_of] - 1)
+    piece_of = piece[text_of] + inner
+    for scale, (matrix, names) in items.queries.items():
+        window, norm = windows[scale]
+        # Windows near which some item of this scale can be at all.
+        some = np.flatnonzero(able_in[:, names[:, 0]].any(axis=1)[piece_of])
+        close = window[some] @ matrix.T
+        w, q = np.nonzero(able_in[:, names[:, 0]][piece_of[some]])
+        cosines = close[w, q] / norm[some[w]]
+        passed = cosines >= cosine
+        w, q, cosines = some[w[passed]], q[passed], cosines[passed]
+        if not len(w):
+            continue
+        item_of, text = names[q, 0], text_of[w]
+        size_of = np.array(items.sizes)[item_of]
+        begin = bounds[text] + (w - first[text]) * STEP - names[q, 1]
+        lows = np.minimum(np.maximum(bounds[text], begin - scale // 2), bounds[text + 1] - 1)
+        highs = np.maximum(lows + 1, np.minimum(bounds[text + 1], begin + size_of + scale // 2 + STEP))
+        # Necessary for the subsequence: few of the item's terms are missing.
+        lengths = highs - lows
+        inside = items.bits[np.repeat(item_of, lengths), term[ranges(lows, lengths)]]
+        held = np.bitwise_count(np.bitwise_or.reduceat(inside, np.cumsum(lengths) - lengths))
+        able = np.flatnonzero(held >= items.distinct[item_of] - (1 - lcs) * size_of)
+        for c in able.tolist():
+            item, n, at = int(item_of[c]), int(size_of[c]), int(text[c])
+            region = words[lows[c] : highs[c]].tolist()
+            share = common(region, items.masks[item], n) / n
+            if share < lcs:
+                continue
+            masks, size = items.answers[item]
+            told = common(region, masks, size) / size if size else 1.0
+            if told < answer:
+                continue
+            found = (share, float(cosines[c]), told, int(lows[c] - bounds[at]))
+            if found > best.get((at, item), (0.0,)):
+                best[at, item] = found
+    return best
+
+
+def search(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
+    """One row for each document and benchmark item found in it: id, item_id, cosine, lcs_share, answer_share, first_word of the place.
+
+    One pass over the documents serves BENCH_BYTES of items. Ids of items are of any type; items without id are ignored.
+    """
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
-    asked = bench.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null").distinct()
-    parts = -(-asked.count() // BENCH_BLOCK)
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    asked = bench.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
+    item = asked.schema["item"].dataType
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, item_id {item.simpleString()}, cosine double, lcs_share double, answer_share double, first_word long"
+    size = asked.agg(F.sum(F.octet_length("text") + 64)).first()[0]
+    if not size:
+        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     weights = term_weights(docs)
     # Folding in divides by the singular values, so that what all passages share does not drown the rest.
-    vectors, values = basis(docs, weights)
+    vectors, values = basis(docs, weights, rank)
     vectors = vectors / np.maximum(values, 1e-6 * max(values.max(), 1e-12)).astype(np.float32)
-    out = None
-    for part in range(parts):
-        rows = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        found = docs.mapInArrow(_search(Items([(r.item, r.text) for r in rows], weights, vectors), weights, vectors, cosine, lcs, answer), schema)
+    out, passes = None, -(-size // BENCH_BYTES)
+    for part in range(passes):
+        # The query set, in pieces of bounded size.
+        rows = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == part).orderBy("item", "text").collect()
+        rows = [(r.item, r.text) for r in rows]
+        parts = spark.sparkContext.broadcast([rows[i : i + BENCH_BLOCK] for i in range(0, len(rows), BENCH_BLOCK)])
+        found = docs.mapInArrow(_search(parts, weights, vectors, to_arrow_type(item), cosine, lcs, answer), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 

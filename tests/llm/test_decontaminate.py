@@ -102,3 +102,14 @@ def test_all_accepted_paraphrases_are_found(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.item_id) for r in d.search(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert truth <= got
+
+
+def test_text_ids_and_many_items_in_one_pass(spark):
+    docs, items, truth = make(6)
+    df = spark.createDataFrame(docs, "doc_id long, text string, cosine string").repartition(2)
+    rng = random.Random(3)
+    other = [(f"o{i}", " ".join("".join(rng.choice("nopqrstuvwxyz") for _ in range(6)) for _ in range(20))) for i in range(2000)]
+    bench = spark.createDataFrame([(None if i is None else f"i{i}", t) for i, t in items] + other, "item_id string, text string")
+    found = d.search(df, bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, f"i{x}") for i, x in truth}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
