@@ -155,7 +155,7 @@ def repeated(df: DataFrame, kind: str, width: int, k: int, steps: list[int], sol
         data, begin = block.data.tobytes(), (start + block.offsets[of])[mine].tolist()
         spans = [data[a : a + c + width - 1] for a, c in zip(begin, n[mine].tolist())]
         take = pa.array(of[mine])
-        return [pa.array(key[mine]), pa.array(sk[mine]), pa.array(lead[mine]), batch.column("id").take(take), batch.column("th").take(take), pa.array(start[mine]), pa.array(n[mine]), pa.array(copied[mine]), pa.array(spans, pa.binary())]
+        return [pa.array(key[mine]), pa.array(sk[mine]), _whole(lead[mine]), batch.column("id").take(take), batch.column("th").take(take), _whole(start[mine]), _whole(n[mine]), pa.array(copied[mine].tolist(), pa.bool_()), pa.array(spans, pa.binary())]
 
     def unfold(step):
         def run(batches):
