@@ -103,17 +103,23 @@ def insert(spark: SparkSession, root: str, table: Table, s: Statement, stage: Ca
 
 
 def _rewrite(spark: SparkSession, root: str, table: Table, matched, change: Callable[[DataFrame], DataFrame], stage: Callable[[], str]) -> int:
-    """Replace the segments that hold matches by one new one; the others stay as they are. One job counts, one writes."""
+    """Replace the files that hold matches by a new segment; all others stay as they are. One job counts, one writes."""
     counts = segments.count(spark, root, table, matched)
-    touched = [s for i, s in enumerate(table.segments) if counts[i][1]]
+    touched = sorted(f for files in counts for f, (_, hits) in files.items() if hits)
     if not touched:
         return 0
-    total = sum(hits for _, hits in counts)
-    rows = sum(n for n, hits in counts if hits)
-    changed = change(segments.read(spark, root, table, touched))
+    total = sum(hits for files in counts for _, hits in files.values())
+    rows = sum(n for files in counts for n, hits in files.values() if hits)
+    changed = change(segments.read(spark, root, table, [s for s, files in zip(table.segments, counts) if any(hits for _, hits in files.values())], touched))
     if isinstance(changed, tuple):
         changed, rows = changed[0], rows - total
-    kept = [s for i, s in enumerate(table.segments) if not counts[i][1]]
+    kept = []
+    for s, files in zip(table.segments, counts):
+        lost, left = sorted(f for f, (_, hits) in files.items() if hits), sum(n for n, hits in files.values() if not hits)
+        if not lost:
+            kept.append(s)
+        elif left:
+            kept.append({**s, "without": [*s.get("without", []), *lost]} | ({"rows": left} if "rows" in s else {}))
     if rows:
         name = stage()
         segments.write(changed, root, name, table.key, rows > SMALL_ROWS)

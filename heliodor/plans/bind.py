@@ -26,6 +26,9 @@ _APPLY = {
     "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
 }
 
+#: Terms of a condition that are combined one by one.
+LONG_CHAIN = 64
+
 
 @dataclass
 class Column:
@@ -166,14 +169,26 @@ class Binder:
             return Value(t.name, F.col(f"c{at}"), type=t)
         return Value("BOOLEAN", self.truth(e))
 
+    def chain(self, e: Any) -> SparkColumn:
+        """Terms joined by one operator, bound left to right. Many of them become an array, since Spark walks long chains recursively."""
+        op, terms = e.op, []
+        while isinstance(e, S.Logic) and e.op == op:
+            terms.append(e.right)
+            e = e.left
+        columns = [self.truth(t) for t in [e, *reversed(terms)]]
+        if len(columns) > LONG_CHAIN:
+            return (F.forall if op == "AND" else F.exists)(F.array(*columns), lambda x: x)
+        out = columns[0]
+        for c in columns[1:]:
+            out = out & c if op == "AND" else out | c
+        return out
+
     def truth(self, e: Any) -> SparkColumn:
         if isinstance(e, S.Compare):
             left = self.value(e.left)
             return compare(e.op, left, self.value(e.right))
         if isinstance(e, S.Logic):
-            left = self.truth(e.left)
-            right = self.truth(e.right)
-            return left & right if e.op == "AND" else left | right
+            return self.chain(e)
         if isinstance(e, S.Not):
             return ~self.truth(e.inner)
         if isinstance(e, S.IsNull):
@@ -207,10 +222,12 @@ class KeyBounds:
 def key_bounds(where: Any, table: Table) -> KeyBounds:
     out = KeyBounds()
 
-    def visit(e: Any) -> None:
+    # Left to right without recursion: a long chain of terms is deep on its left side.
+    held = [where]
+    while held:
+        e = held.pop()
         if isinstance(e, S.Logic) and e.op == "AND":
-            visit(e.left)
-            visit(e.right)
+            held += [e.right, e.left]
         elif isinstance(e, S.Compare) and e.op != "!=":
             for op, a, b in ((e.op, e.left, e.right), (_MIRROR[e.op], e.right, e.left)):
                 if isinstance(a, S.Column) and isinstance(b, S.Literal) and a.name == table.key_column.name:
@@ -219,8 +236,6 @@ def key_bounds(where: Any, table: Table) -> KeyBounds:
                     if op in ("=", "<", "<="):
                         out.high = ("<=" if op == "=" else op, b.value)
                     break
-
-    visit(where)
     return out
 
 

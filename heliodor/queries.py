@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import scripts
 from .session import Session
 from .sources.catalog import Registry, shared_root
 
@@ -103,6 +104,7 @@ _ALL: dict[str, tuple[str, list[str], str]] = {
     "order_long_text_limit": ("documents", ["SELECT doc_id, text FROM documents ORDER BY text DESC LIMIT 30"], "SELECT doc_id, text FROM documents ORDER BY text DESC, doc_id LIMIT 30"),
     "order_decimal_desc_nulls": ("orders", [_TO_NULL, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 900"], f"SELECT o_orderkey, o_totalprice FROM {_HOLES} ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 900"),
     "order_decimal_asc_nulls": ("orders", [_TO_NULL, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice ASC LIMIT 900"], f"SELECT o_orderkey, o_totalprice FROM {_HOLES} ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 900"),
+    "order_whole_table": ("orders", ["SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC"], f"SELECT o_orderkey, o_totalprice FROM {_ORDERS} ORDER BY o_totalprice DESC, o_orderkey"),
     "order_hidden_column": ("orders", ["SELECT o_orderkey FROM orders ORDER BY o_totalprice LIMIT 20"], f"SELECT o_orderkey FROM {_ORDERS} ORDER BY o_totalprice, o_orderkey LIMIT 20"),
     "limit_zero": ("orders", ["SELECT o_orderkey FROM orders WHERE nothing LIMIT 0"], "SELECT o_orderkey FROM orders LIMIT 0"),
     "limit_past_end": ("supplier", ["SELECT s_suppkey, s_name FROM supplier LIMIT 18446744073709551615"], "SELECT s_suppkey, s_name FROM supplier"),
@@ -146,3 +148,6 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NATION = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation"
 QUERIES = {name: _run(table, *statements) for name, (table, statements, _) in _ALL.items()} | {"snapshot_read": _snapshot, "failed_stmt_no_change": _failed}
 ORACLE_SQL = {name: oracle for name, (_, _, oracle) in _ALL.items()} | {"snapshot_read": _NATION, "failed_stmt_no_change": _NATION}
+_QUERIES, _ORACLES = scripts.queries(scratch)
+QUERIES |= _QUERIES
+ORACLE_SQL |= _ORACLES

@@ -22,30 +22,41 @@ def schema(table: Table) -> T.StructType:
     return T.StructType(fields)
 
 
-def _attached(spark: SparkSession, table: Table, segment: dict) -> DataFrame:
-    frame = spark.read.parquet(segment["path"])
+FILE = "_metadata.file_name"
+
+
+def _columns(table: Table, segment: dict) -> list[Column]:
+    """Columns of an attached segment."""
     columns: list[Column] = []
     for i, (c, source) in enumerate(zip(table.columns, segment["columns"])):
         column = F.expr(source).cast(c.type.spark())
         columns.append(column.alias(f"c{i}"))
         if c.type.name == "DECIMAL":
             columns.append(F.when(column.isNotNull(), F.lit(c.type.scale)).cast("byte").alias(f"s{i}"))
-    return frame.select(*columns)
-
-
-def read_segment(spark: SparkSession, root: str, table: Table, segment: dict) -> DataFrame:
-    if "path" in segment:
-        return _attached(spark, table, segment)
-    return spark.read.schema(schema(table)).parquet(os.path.join(root, segment["dir"]))
+    return columns
+
+
+def _frames(spark: SparkSession, root: str, table: Table, segments: list, extra: list[Column], only: list[str] | None = None) -> list[tuple[list, DataFrame]]:
+    """(segments, rows with extra columns) of each scan: all stored segments are one. Files that a segment has lost (or that are not asked for) are pruned by name."""
+    stored = [s for s in segments if "dir" in s]
+    plain = [F.col(f.name) for f in schema(table)]
+    scans = [([s], spark.read.parquet(s["path"]), _columns(table, s)) for s in segments if "path" in s]
+    if stored:
+        scans.insert(0, (stored, spark.read.schema(schema(table)).parquet(*[os.path.join(root, s["dir"]) for s in stored]), plain))
+    out = []
+    for members, frame, columns in scans:
+        lost = [f for s in members for f in s.get("without", [])]
+        if lost:
+            frame = frame.filter(~F.col(FILE).isin(lost))
+        if only is not None:
+            frame = frame.filter(F.col(FILE).isin(only))
+        out.append((members, frame.select(*columns, *extra)))
+    return out
 
 
-def read(spark: SparkSession, root: str, table: Table, segments: list | None = None) -> DataFrame:
-    """All rows of a table (or of some of its segments), each stored directory set in one scan."""
-    segments = table.segments if segments is None else segments
-    own = [os.path.join(root, s["dir"]) for s in segments if "dir" in s]
-    frames = [_attached(spark, table, s) for s in segments if "path" in s]
-    if own:
-        frames.append(spark.read.schema(schema(table)).parquet(*own))
+def read(spark: SparkSession, root: str, table: Table, segments: list | None = None, only: list[str] | None = None) -> DataFrame:
+    """All rows of a table (or of some of its segments, or of some files)."""
+    frames = [f for _, f in _frames(spark, root, table, table.segments if segments is None else segments, [], only)]
     if not frames:
         return spark.createDataFrame([], schema(table))
     out = frames[0]
@@ -54,23 +65,20 @@ def read(spark: SparkSession, root: str, table: Table, segments: list | None = N
     return out
 
 
-def count(spark: SparkSession, root: str, table: Table, matched: Column) -> list[tuple[int, int]]:
-    """Rows and matching rows of each segment of the table, in one job."""
-    frames = []
-    own = {s["dir"]: i for i, s in enumerate(table.segments) if "dir" in s}
-    if own:
-        stored = spark.read.schema(schema(table)).parquet(*[os.path.join(root, d) for d in own])
-        frames.append(stored.withColumn("segment", F.regexp_extract("_metadata.file_path", r"/(seg-[0-9a-f]+)/[^/]*$", 1)))
-    for i, s in enumerate(table.segments):
-        if "path" in s:
-            frames.append(_attached(spark, table, s).withColumn("segment", F.lit(str(i))))
-    out = [(0, 0)] * len(table.segments)
-    if frames:
-        whole = frames[0]
-        for f in frames[1:]:
-            whole = whole.union(f)
-        for r in whole.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(matched).alias("hits")).collect():
-            out[own[r.segment] if r.segment in own else int(r.segment)] = (r.n, r.hits)
+def count(spark: SparkSession, root: str, table: Table, matched: Column) -> list[dict[str, tuple[int, int]]]:
+    """For each segment of the table, rows and matching rows of each file, in one job."""
+    out: list[dict] = [{} for _ in table.segments]
+    place = {s["dir"]: i for i, s in enumerate(table.segments) if "dir" in s}
+    extra = [F.col(FILE).alias("file"), F.col("_metadata.file_path").alias("path")]
+    whole = None
+    for members, frame in _frames(spark, root, table, table.segments, extra):
+        # A stored file names its segment; an attached segment is a scan of its own.
+        at = F.regexp_extract("path", r"/(seg-[0-9a-f]+)/[^/]*$", 1) if "dir" in members[0] else F.lit(str(table.segments.index(members[0])))
+        frame = frame.withColumn("segment", at)
+        whole = frame if whole is None else whole.union(frame)
+    if whole is not None:
+        for r in whole.groupBy("segment", "file").agg(F.count("*").alias("n"), F.count_if(matched).alias("hits")).collect():
+            out[place[r.segment] if r.segment in place else int(r.segment)][r.file] = (r.n, r.hits)
     return out
 
 
