@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "/tmp/checkpoints"
     return folder.rstrip("/")
 
@@ -69,6 +71,13 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    longest = max(map(len, have), default=0)
+    return [n if n.lower() not in have else n + "_" * (longest + 1 - len(n)) for n in names]
+
+
 def regrouped(df: DataFrame, column: str) -> DataFrame:
     """The same rows, dealt anew by the next join.
 

@@ -14,8 +14,8 @@ as fit into the target and then a part of one pass, to the nearest document.
 Running totals are made in two levels (4096 hash buckets a source, then within a
 bucket), so no task gets a whole source.
 
-Rules: null text has size 0; null ids count as the text "null" in the order; equal ids are ordered by
-size (copies of one row are alike, so which one is taken does not matter); a source
+Rules: null text has size 0; null ids are ordered by text; equal ids are ordered by
+size and text (copies of one row are alike, so which one is taken does not matter); a source
 without words has target 0 and is not taken; an empty table gives an empty result. Other
 columns of the input are ignored by ``mix`` and carried by ``mixed_rows``.
 """
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import fresh, n_words, table
 
 MOST = 3
 BUCKET_HEX = 3
@@ -57,18 +57,27 @@ def position(progress: Column, rank: Column) -> Column:
     return F.when(rank % 3 == 1, progress).otherwise(root)
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
 def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     source = F.col(source_col).cast("string")
-    rows = df.select(F.col(id_col).alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("sk"), n_words(F.col(text_col)).alias("size"))
+    rows = df.select(F.col(id_col).alias("id"), source.alias("source"), _source_key(source).alias("sk"), n_words(F.col(text_col)).alias("size"), _text_hash(text_col).alias("h"))
     rows = table(df.sparkSession, rows, "sizes")
-    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    # Null ids are spread by text, so that many of them make no hot bucket.
+    key = F.md5(F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null"), F.col("h").cast("string"))))
     rows = rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
     buckets = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("sk", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     info = targets(rows).select("sk", "source_size", "rank", "target")
     buckets = buckets.join(info, "sk")
-    inside = Window.partitionBy("sk", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sk", "bucket").orderBy("key", "id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets, ["sk", "bucket"])
     rows = rows.withColumn("at", F.col("at") + F.col("start"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -87,13 +96,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of df, each as often as the mix takes it, range-sorted by training position. Rows with a null id are left out."""
+    """The rows of df, each as often as the mix takes it, range-sorted by training position. Rows are known by id (null too), text and source."""
     plan = _plan(df, id_col, text_col, source_col)
-    plan = plan.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("size"))).filter("copies > 0")
+    each = ["id", "h", "sk"]
+    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy(*each).orderBy("at"))).filter("copies > 0")
     copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    places = plan.select(F.col("id").alias("__id"), "__n", "rank", "at", "size", "source_size", "target", copy.alias("__copy"))
-    progress = (F.col("__copy") * F.col("source_size") + F.col("at") + F.col("size") / 2) / F.col("target")
-    places = places.select("__id", "__n", position(progress, F.col("rank")).alias("__at")).groupBy("__id", "__n").agg(F.sort_array(F.collect_list("__at")).alias("__places"))
-    rows = df.withColumn("__m", F.row_number().over(Window.partitionBy(id_col).orderBy(n_words(F.col(text_col)))))
-    rows = rows.join(places, F.col(id_col) == F.col("__id")).filter("__m = __n").drop("__id", "__n", "__m")
-    return rows.withColumn("__at", F.explode("__places")).orderBy("__at", id_col).drop("__at", "__places")
+    places = plan.select(*each, "n", "rank", "at", "size", "source_size", "target", copy.alias("copy"))
+    progress = (F.col("copy") * F.col("source_size") + F.col("at") + F.col("size") / 2) / F.col("target")
+    places = places.select(*each, "n", position(progress, F.col("rank")).alias("p")).groupBy(*each, "n").agg(F.sort_array(F.collect_list("p")).alias("places"))
+    i, h, k, n, at, many = fresh(df, "__i", "__h", "__k", "__n", "__at", "__places")
+    places = places.toDF(i, h, k, n, many)
+    mine = [F.col(id_col), _text_hash(text_col), _source_key(F.col(source_col))]
+    m, g = fresh(df, "__m", "__g")
+    rows = df.withColumn(g, mine[1]).withColumn(m, F.row_number().over(Window.partitionBy(*mine).orderBy(F.lit(0))))
+    rows = rows.join(places, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(g) == F.col(h)) & (mine[2] == F.col(k)) & (F.col(m) == F.col(n)))
+    rows = rows.withColumn(at, F.explode(many)).orderBy(at, id_col, g)
+    return rows.select(*df.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Block, blocks, ranges
+from .common import Block, blocks, fresh, ranges
 
 TERM_BITS, RANK = 12, 96
 PASSAGE, STEP = 32, 8
@@ -324,5 +324,6 @@ def search(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
 
 def keep_clean(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of df in which no benchmark item is found, with all columns. Rows with a null id stay."""
-    found = search(df, bench, id_col, text_col).select(F.col(id_col).alias("__found")).distinct()
-    return df.join(found, df[id_col] == F.col("__found"), "left_anti")
+    (mine,) = fresh(df, "__found")
+    found = search(df, bench, id_col, text_col).select(F.col(id_col).alias(mine)).distinct()
+    return df.join(found, df[id_col] == F.col(mine), "left_anti")

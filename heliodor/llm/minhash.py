@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, blocks, drop_table, mix, regrouped, table
+from .common import Prefix, blocks, drop_table, fresh, mix, regrouped, table
 from .graph import components
 
 SHINGLE = 5
@@ -287,5 +287,7 @@ def _texts(units: DataFrame, texts: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows of df without the near copies: of each component the row with its smallest id stays. Rows with a null id stay."""
-    kept = components_of(df, id_col, text_col, least, bands, rows).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, df[id_col] == F.col("__kept"), "left").filter(F.col("__kept").isNotNull() | df[id_col].isNull()).drop("__kept")
+    kept = components_of(df, id_col, text_col, least, bands, rows).filter("kept")
+    (mine,) = fresh(df, "__kept")
+    kept = kept.select(F.col(id_col).alias(mine)).distinct()
+    return df.join(kept, df[id_col] == F.col(mine), "left").filter(F.col(mine).isNotNull() | df[id_col].isNull()).drop(mine)

@@ -21,7 +21,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import drop_table, fresh, table
 
 BITS = 64
 FIRST_BITS = 12
@@ -152,28 +152,30 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
 def assign(df: DataFrame, id_col: str, text_col: str, shards: int = 24, slot_rows: int = 20_000) -> DataFrame:
     """df with shard (int), slot (long, gapless from 0 in its shard) and size (long)."""
     df = df.drop("shard", "slot", "size")
+    h, b, s, c, o, r = fresh(df, "__h", "__b", "__s", "__c", "__o", "__r")
     seen = df.select(group_hash(F.col(text_col)).alias("h"), row_size(F.col(text_col)).alias("b"))
     _, cuts = plan_cuts(seen, shards)
     # In unsigned order; flipping the top bit makes signed comparison do it.
-    flipped = F.col("__h").bitwiseXOR(F.lit(-(2**63)))
+    flipped = F.col(h).bitwiseXOR(F.lit(-(2**63)))
     shard = F.lit(0)
-    for c in cuts:
-        c = (c ^ 2**63) & (2**BITS - 1)
-        shard = shard + F.when(flipped >= F.lit(c - 2**BITS if c >= 2**63 else c), 1).otherwise(0)
-    rows = df.withColumn("__h", group_hash(F.col(text_col))).withColumn("shard", shard.cast("int")).withColumn("size", row_size(F.col(text_col)))
-    return _slots(rows, id_col, slot_rows).drop("__h")
+    for cut in cuts:
+        cut = (cut ^ 2**63) & (2**BITS - 1)
+        shard = shard + F.when(flipped >= F.lit(cut - 2**BITS if cut >= 2**63 else cut), 1).otherwise(0)
+    rows = df.withColumn(h, group_hash(F.col(text_col))).withColumn("shard", shard.cast("int")).withColumn("size", row_size(F.col(text_col)))
+    return _slots(rows, id_col, slot_rows, (h, b, s, c, o, r)).drop(h)
 
 
-def _slots(rows: DataFrame, id_col: str, slot_rows: int) -> DataFrame:
+def _slots(rows: DataFrame, id_col: str, slot_rows: int, names: tuple) -> DataFrame:
     """Gapless slots by (hash bucket of the id, id): counts a bucket, then ranks inside small buckets."""
     from pyspark.sql import Window
 
+    h, b, s, c, o, r = names
     total = rows.count()
     n = max(1, -(-total // (24 * slot_rows)), min(256, -(-total // 256)))
-    rows = rows.withColumn("__b", F.pmod(F.xxhash64(F.col(id_col), F.col("__h")), F.lit(n)).cast("int"))
-    counts = rows.groupBy("shard", "__b").count()
-    before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("shard").alias("__s"), F.col("__b").alias("__c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy("shard", "__b").orderBy(F.col(id_col).asc_nulls_last(), "__h")
-    ranked = rows.withColumn("__r", F.row_number().over(inside))
-    return ranked.join(offsets, (F.col("shard") == F.col("__s")) & (F.col("__b") == F.col("__c"))).withColumn("slot", (F.col("__r") - 1 + F.col("__o")).cast("long")).drop("__r", "__o", "__s", "__c", "__b")
+    rows = rows.withColumn(b, F.pmod(F.xxhash64(F.col(id_col), F.col(h)), F.lit(n)).cast("int"))
+    counts = rows.groupBy("shard", b).count()
+    before = Window.partitionBy("shard").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("shard").alias(s), F.col(b).alias(c), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(o))
+    inside = Window.partitionBy("shard", b).orderBy(F.col(id_col).asc_nulls_last(), h)
+    ranked = rows.withColumn(r, F.row_number().over(inside))
+    return ranked.join(offsets, (F.col("shard") == F.col(s)) & (F.col(b) == F.col(c))).withColumn("slot", (F.col(r) - 1 + F.col(o)).cast("long")).drop(r, o, s, c, b)

@@ -73,7 +73,22 @@ def test_rows_and_schedule(spark):
 def test_repeated_and_null_rows(spark):
     df = spark.createDataFrame([(7, "a b", "s"), (7, "a b", "s"), (7, "c", "s"), (None, "d e f", "t"), (8, None, None)], "doc_id long, text string, source string")
     assert curriculum.mix(df).count() == 5
-    got = sorted(curriculum.mixed_rows(df).collect())
-    want = sum(r.copies for r in curriculum.mix(df).collect() if r.doc_id is not None)
+    got = sorted(curriculum.mixed_rows(df).collect(), key=str)
+    want = sum(r.copies for r in curriculum.mix(df).collect())
     assert len(got) == want
     assert curriculum.mix(df.limit(0)).count() == 0 and curriculum.mixed_rows(df.limit(0)).count() == 0
+
+
+def test_mixed_rows_take_null_ids_and_clashing_columns(spark):
+    rows = [(None, f"w{i} " * (1 + i % 4), "a", i) for i in range(60)] + [(7, "x y", "b", 1), (7, "y x", "b", 2), (8, None, None, 3), (7, "x y", "b", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __at long").withColumnRenamed("__at", "__m")
+    plan = {(r.source_size, r.target) for r in curriculum.mix(df).collect()}
+    out = curriculum.mixed_rows(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    words = sum(len(r.text.split()) for r in got if r.source == "a")
+    size, target = next(x for x in plan if x[0] == sum(1 + i % 4 for i in range(60)))
+    assert abs(words - target) <= 4 and {r["__m"] for r in got if r.source == "a"} <= set(range(60))
+    assert {r["__m"] for r in got if r.source == "b"} == {1, 2, 4}
+    again = curriculum.mixed_rows(df.repartition(5)).collect()
+    assert [(r.doc_id, r.text) for r in again] == [(r.doc_id, r.text) for r in got]
