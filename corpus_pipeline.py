@@ -7,7 +7,7 @@ mix           takes each source's documents as often as its target says, in curr
 shard         puts every taken row into one of 24 shards of near equal bytes, with a slot
 
 All stages but the last return the columns of documents. Rows with a null id are never rejected as
-copies or leaks; the mix leaves them out. Every stage is deterministic.
+copies or leaks. Every stage is deterministic.
 """
 
 from __future__ import annotations
