@@ -269,9 +269,10 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     others = docs.select(F.col("id").alias("i")).filter("i is not null").orderBy(F.xxhash64("i"), "i").limit(sample).distinct()
     others = others.join(F.broadcast(known_rows.select("i").distinct()), "i", "left_anti")
     unlabelled = docs.join(F.broadcast(others), F.col("id") == F.col("i")).select("id", "text")
-    seen = [(np.array(r.found, dtype=np.int64), None) for r in in_arrow(unlabelled, _find(names, order), _found_schema(docs)).collect()]
+    seen = [(at, None) for at in _lists(in_arrow(unlabelled.select("id", "text"), _find(names, order), _found_schema(docs)).select("found").toArrow())]
     found = in_arrow(rows.select(F.struct("id", "toxic").alias("id"), "text"), _find(names, order), "id struct<id:%s,toxic:boolean>, found array<long>" % docs.schema["id"].dataType.simpleString())
-    seen += [(np.array(r.found, dtype=np.int64), r.id.toxic) for r in found.collect()]
+    found = found.select("id.toxic", "found").toArrow()
+    seen += zip(_lists(found), found.column("toxic").to_pylist())
     # One row for each voter alone, so that a rare one is known to the classifier too.
     seen += [(np.array([j]), None) for j in voters[kept]]
     votes = np.zeros((len(seen), n))
@@ -285,6 +286,16 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     return Model(names, weight, bias, np.array(chosen), p1, p0, correlation, prior)
 
 
+def _lists(found: pa.Table) -> list[np.ndarray]:
+    """The column ``found`` as arrays that share memory: a sample of rows takes little room on the driver."""
+    column = found.column("found").combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.int64()))
+    offsets = np.asarray(column.offsets)
+    flat = np.asarray(column.values)
+    return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def _found_schema(docs: DataFrame) -> str:
     return f"id {docs.schema['id'].dataType.simpleString()}, found array<long>"
 
