@@ -9,9 +9,10 @@ documents; correlations come from that covariance less what the classes explain,
 voters that say the same thing. The model's posterior labels train a linear
 (logistic) classifier over the presence of mined words and stems, which scores every text.
 
-Labels are learned only from rows that ``learn`` admits. What is fitted on a bounded sample:
-voters, classifier features and the classifier, on SAMPLE labelled rows and SAMPLE other
-documents (those of smallest id hash). Voter statistics cover all documents; all texts are scored in full.
+Labels are learned only from rows that ``learn`` admits. Voters, classifier features and labelled rates are
+counted over all admitted rows, voter statistics over all documents. Only the classifier's weights are fitted on a bounded
+sample: SAMPLE labelled rows and SAMPLE other documents with their posteriors (those of smallest id hash). All texts are
+scored in full.
 
 Rules: null text is empty and scored like any; null ids are scored and never learned from; null
 labels are ignored, repeated ones count each; without labels the lexicon's default rates are used; an
@@ -29,7 +30,7 @@ from .common import MARKS, blocks, hash_of, in_arrow
 
 # Common insults.
 LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
-#: Most labelled rows, and as many other documents, that the fit looks at.
+#: Most labelled rows, and as many other documents, that the classifier's weights are fitted on.
 SAMPLE = 20_000
 VOTERS, FEATURES = 96, 2048
 #: Least likelihood ratio statistic of a mined feature, and least share of toxic rows for a voter.
@@ -227,10 +228,9 @@ def _train(found: list[np.ndarray], target: np.ndarray, n: int, l2: float = 0.05
 def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on labels(label_id, label_col) whose row satisfies learn (a condition on label_id)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # 0 <= toxic rows of the smallest hashes; both are bounded by the parameter, hence the broadcasts.
-    known_rows = labels.filter(learn & F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).select(F.col(label_id).alias("i"), (F.col(label_col) > 0).alias("toxic"))
-    known_rows = known_rows.orderBy(F.xxhash64("i"), "i", "toxic").limit(sample)
-    rows = docs.join(F.broadcast(known_rows), F.col("id") == F.col("i")).select("id", "text", "toxic")
+    # Mined words, their rates and the prior count every admitted labelled row; Spark chooses the join by the size of the labels.
+    admitted = labels.filter(learn & F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).select(F.col(label_id).alias("i"), (F.col(label_col) > 0).alias("toxic"))
+    rows = docs.join(admitted, F.col("id") == F.col("i")).select("id", "text", "toxic")
     tally = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos_all, neg_all = tally.get(True, 0), tally.get(False, 0)
     mined = []
@@ -266,6 +266,9 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     place[voters[kept]] = np.arange(n)
     count = np.array([by_name.get(f, (0, 0)) for f in chosen], dtype=float)
     p1, p0, correlation, prior = _rates(count[:, 0], count[:, 1], pos_all, neg_all, np.array([f in lexicon for f in chosen], dtype=bool), joint[:n, :n], joint[n, n])
+    # Rows that the classifier is fitted on; both sides are bounded by the parameter, hence the broadcasts.
+    known_rows = admitted.orderBy(F.xxhash64("i"), "i", "toxic").limit(sample)
+    rows = docs.join(F.broadcast(known_rows), F.col("id") == F.col("i")).select("id", "text", "toxic")
     others = docs.select(F.col("id").alias("i")).filter("i is not null").orderBy(F.xxhash64("i"), "i").limit(sample).distinct()
     others = others.join(F.broadcast(known_rows.select("i").distinct()), "i", "left_anti")
     unlabelled = docs.join(F.broadcast(others), F.col("id") == F.col("i")).select("id", "text")
