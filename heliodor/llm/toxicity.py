@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from .common import MARKS, blocks, hash_of, in_arrow
 
@@ -33,6 +34,8 @@ LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum",
 #: Most labelled rows, and as many other documents, that the classifier's weights are fitted on.
 SAMPLE = 20_000
 VOTERS, FEATURES = 96, 2048
+#: Bits of the sieve that keeps most texts without a label from being dealt; its broadcast has at most SIEVE / 64 rows.
+SIEVE = 1 << 25
 #: Least likelihood ratio statistic of a mined feature, and least share of toxic rows for a voter.
 LEAST_G, LEAST_SHARE = 24.0, 0.7
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -83,12 +86,11 @@ def _present(block, known: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, n
 def _count(batches):
     for batch, block in blocks(batches, "text", 1 << 20):
         values, owner = features(block)
-        toxic = np.asarray(batch.column("toxic")).astype(bool)
+        yes, no = np.asarray(batch.column("yes")), np.asarray(batch.column("no"))
         once = np.unique(np.stack([values.view(np.int64), owner]), axis=1)
         names, at = np.unique(once[0], return_inverse=True)
-        pos = np.bincount(at, weights=toxic[once[1]], minlength=len(names)).astype(np.int64)
-        both = np.bincount(at, minlength=len(names)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(pos), pa.array(both - pos)], ["f", "pos", "neg"])
+        pos, neg = (np.bincount(at, weights=n[once[1]], minlength=len(names)).astype(np.int64) for n in (yes, no))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(pos), pa.array(neg)], ["f", "pos", "neg"])
 
 
 def _find(known, order):
@@ -225,14 +227,39 @@ def _train(found: list[np.ndarray], target: np.ndarray, n: int, l2: float = 0.05
     return weight[:n], weight[n]
 
 
+def _sieve(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of docs whose id may be one of known's ids i: all that are, and few others while known has few rows against SIEVE.
+
+    Equal ids must have equal hashes, so ids of two types, or of types with several forms of a value, all pass.
+    """
+    kind = docs.schema["id"].dataType
+    if kind != known.schema["i"].dataType or not (isinstance(kind, IntegralType) or kind == StringType()):
+        return docs
+
+    def bit(name):
+        return F.pmod(F.xxhash64(name), F.lit(SIEVE))
+
+    words = known.select(bit("i").alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("bits"))
+    near = docs.withColumn("b", bit("id")).join(F.broadcast(words), F.shiftright("b", 6) == F.col("w"))
+    return near.filter("getbit(bits, int(b % 64)) = 1").select(*docs.columns)
+
+
+def labelled(docs: DataFrame, admitted: DataFrame) -> DataFrame:
+    """id and text of every row of docs(id, text) with a label in admitted(i, toxic), and how many labels say yes and no.
+
+    Labels and texts are dealt by id at every size of the labels, so the cost grows in proportion; the sieve leaves out most texts without a label before that.
+    """
+    known = admitted.groupBy("i").agg(F.count_if("toxic").alias("yes"), F.count_if(~F.col("toxic")).alias("no"))
+    return _sieve(docs, admitted).join(known.hint("shuffle_hash"), F.col("id") == F.col("i")).select("id", "text", "yes", "no")
+
+
 def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on labels(label_id, label_col) whose row satisfies learn (a condition on label_id)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Mined words, their rates and the prior count every admitted labelled row; Spark chooses the join by the size of the labels.
+    # Mined words, their rates and the prior count every admitted labelled row.
     admitted = labels.filter(learn & F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).select(F.col(label_id).alias("i"), (F.col(label_col) > 0).alias("toxic"))
-    rows = docs.join(admitted, F.col("id") == F.col("i")).select("id", "text", "toxic")
-    tally = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos_all, neg_all = tally.get(True, 0), tally.get(False, 0)
+    rows = labelled(docs, admitted)
+    pos_all, neg_all = (n or 0 for n in rows.agg(F.sum("yes"), F.sum("no")).first())
     mined = []
     if pos_all and neg_all:
         counts = in_arrow(rows, _count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

@@ -58,3 +58,36 @@ def test_correlated_voters_are_discounted():
     alike[0, 1] = alike[1, 0] = 0.95
     a, b = toxicity.posterior(votes, p1, p0, alike, 0.1)
     assert a < b
+
+
+def test_labelled_rows_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = [*range(300), *range(40), None, None]
+    marks = [(rng.choice([*range(350), None]), rng.random() < 0.3) for _ in range(200)] + [(7, True)] * 50
+    for bits in (64, toxicity.SIEVE):
+        monkeypatch.setattr(toxicity, "SIEVE", bits)
+        for kind, label_kind in (("long", "long"), ("int", "long"), ("string", "string"), ("decimal(9,2)", "long")):
+            docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, text string").select(F.col("id").cast(kind), "text")
+            admitted = spark.createDataFrame(marks, "i long, toxic boolean").select(F.col("i").cast(label_kind), "toxic")
+            got = sorted((int(r.id), r.text, r.yes, r.no) for r in toxicity.labelled(docs, admitted).collect())
+            count = lambda i, toxic: sum(a == i and b == toxic for a, b in marks)
+            assert got == sorted((i, f"t{i}", count(i, True), count(i, False)) for i in ids if i is not None and any(a == i for a, _ in marks))
+
+
+def test_texts_without_a_label_are_not_dealt(spark):
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(4000))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).localCheckpoint()
+    marks = spark.createDataFrame([(i, int(i % 60 == 0)) for i in range(0, 600, 30)], "doc_id long, toxic int")
+
+    def dealt():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before, limit = dealt(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.fit(df, marks, F.lit(True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert dealt() - before < 600 * 4000 / 4
